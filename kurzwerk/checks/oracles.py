@@ -185,7 +185,8 @@ def share(a: str, b: str, digits: int) -> str:
 
 
 RECORD = f"""
-SELECT *, printf('%.0f %%', extractive_coverage * 100) AS coverage_text FROM (
+SELECT *, CASE WHEN extractive_coverage IS NOT NULL
+  THEN printf('%.0f %%', extractive_coverage * 100) END AS coverage_text FROM (
   SELECT *, {share('covered_words', 'summary_words', 2)} AS extractive_coverage,
          {share('summary_characters', 'input_characters', 3)} AS compression_rate
   FROM (
@@ -344,23 +345,27 @@ overlap{n} AS (
 
 # One table row per position of the reference; every round reads one candidate token.
 LCS = """
+ref_rows AS (
+  SELECT pair_id, unnest(range(1, len(r) + 1)) AS j, unnest(r) AS token FROM tokens
+),
+cand_rows AS (
+  SELECT pair_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS token FROM tokens
+),
 lcs_rows AS (
-  SELECT pair_id, 0::BIGINT AS i, j, 0::BIGINT AS v
-  FROM (SELECT pair_id, unnest(range(1, len(r) + 1)) AS j FROM tokens)
+  SELECT pair_id, 0::BIGINT AS i, j, token, 0::BIGINT AS v FROM ref_rows
   UNION ALL
-  SELECT pair_id, i, j, max(CASE WHEN hit THEN before + 1 ELSE v END)
+  SELECT pair_id, i, j, token, max(CASE WHEN hit THEN before + 1 ELSE v END)
                           OVER (PARTITION BY pair_id ORDER BY j ROWS UNBOUNDED PRECEDING)
   FROM (
-    SELECT l.pair_id, l.i + 1 AS i, l.j, l.v, t.r[l.j] = t.c[l.i + 1] AS hit,
+    SELECT l.pair_id, c.i, l.j, l.token, l.v, l.token = c.token AS hit,
            lag(l.v, 1, 0) OVER (PARTITION BY l.pair_id ORDER BY l.j) AS before
-    FROM lcs_rows l JOIN tokens t ON t.pair_id = l.pair_id
-    WHERE l.i < len(t.c)
+    FROM lcs_rows l JOIN cand_rows c ON c.pair_id = l.pair_id AND c.i = l.i + 1
   )
 ),
 overlapL AS (
-  SELECT t.pair_id, coalesce(max(v), 0)::BIGINT AS overlap, len(any_value(r)) AS reference,
-         len(any_value(c)) AS candidate
-  FROM tokens t LEFT JOIN lcs_rows l ON l.pair_id = t.pair_id GROUP BY t.pair_id
+  SELECT t.pair_id, coalesce(v, 0)::BIGINT AS overlap, len(r) AS reference, len(c) AS candidate
+  FROM tokens t LEFT JOIN (SELECT pair_id, max(v) AS v FROM lcs_rows GROUP BY pair_id) l
+    ON l.pair_id = t.pair_id
 )"""
 
 
@@ -414,7 +419,7 @@ results AS (
   SELECT conv_id AS doc_id, turn AS chunk_no, text AS chunk,
     ' ' || string_split(text, '.')[1] AS summary,
     CASE WHEN role <> 'system' THEN role END AS model_name,
-    CASE WHEN contains(text, '!') OR length(text) < 20 THEN 'refused' END AS error
+    CASE WHEN length(text) % 7 = 3 THEN 'refused' END AS error
   FROM conversations
 )"""
 

@@ -112,8 +112,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 def turn_results(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as chunk results: the text before the first stop is the summary.
 
-    Turns of the system have no model name; answers with an exclamation mark or
-    fewer than 20 characters are failed chunks.
+    Turns of the system have no model name; some turns are failed chunks.
     """
     text = F.col("text")
     return conversations(spark, sf).select(
@@ -122,7 +121,7 @@ def turn_results(spark: SparkSession, sf: str) -> DataFrame:
         text.alias("chunk"),
         F.concat(F.lit(" "), F.substring_index(text, ".", 1)).alias("summary"),
         F.when(F.col("role") != "system", F.col("role")).alias("model_name"),
-        F.when(text.contains("!") | (F.length(text) < 20), "refused").alias("error"),
+        F.when(F.length(text) % 7 == 3, "refused").alias("error"),
         F.lit(None).cast("double").alias("elapsed"),
     )
 
@@ -455,9 +454,8 @@ def q_detail_csv(spark, sf):
 
 
 def q_quantile(spark, sf):
-    return E.exact_quantile(documents(spark, sf), "n_chars", 0.95).select(
-        F.bround("quantile", 6).alias("n_chars_p95")
-    )
+    p95 = E.exact_quantile(documents(spark, sf), "n_chars", 0.95)
+    return spark.range(1).select(F.bround(F.lit(p95), 6).alias("n_chars_p95"))
 
 
 def q_eval_hook(spark, sf):

@@ -91,7 +91,7 @@ def truncate_chars(text: Column, limit: int = 4000) -> Column:
 
 
 def percent_text(share: Column) -> Column:
-    return F.format_string("%.0f %%", share * 100)
+    return F.when(share.isNotNull(), F.format_string("%.0f %%", share * 100))
 
 
 def python_round(value: Column, digits: int) -> Column:

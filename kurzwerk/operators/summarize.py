@@ -26,23 +26,23 @@ def _picked(
     Only numbers and single words are sorted, never the texts.
     """
     words = (
-        base.select(*keys, F.posexplode_outer("chunks").alias("chunk_no", "_chunk"))
-        .select(*keys, "chunk_no", F.posexplode_outer(X.sentences(F.col("_chunk"))))
+        base.select(*keys, F.posexplode_outer("chunks").alias("_part", "_chunk"))
+        .select(*keys, "_part", F.posexplode_outer(X.sentences(F.col("_chunk"))))
         .select(
             *keys,
-            "chunk_no",
+            "_part",
             F.col("pos").alias("sent_no"),
             F.explode_outer(X.word_tokens(F.col("col"))).alias("word"),
         )
     )
-    frequency = F.count("word").over(Window.partitionBy(*keys, "chunk_no", "word"))
+    frequency = F.count("word").over(Window.partitionBy(*keys, "_part", "word"))
     scored = (
         words.withColumn("frequency", frequency)
-        .groupBy(*keys, "chunk_no", "sent_no")
+        .groupBy(*keys, "_part", "sent_no")
         .agg(F.count("word").alias("n"), F.sum("frequency").alias("weight"))
         .withColumn("score", F.when(F.col("n") > 0, F.col("weight") / F.col("n")))
     )
-    best_first = Window.partitionBy(*keys, "chunk_no").orderBy(
+    best_first = Window.partitionBy(*keys, "_part").orderBy(
         F.desc_nulls_last("score"), F.asc("sent_no")
     )
     running = F.sum("n").over(best_first.rowsBetween(Window.unboundedPreceding, 0))
@@ -51,10 +51,10 @@ def _picked(
     )
     return (
         scored.withColumn("running", running)
-        .groupBy(*keys, "chunk_no")
+        .groupBy(*keys, "_part")
         .agg(F.sort_array(F.collect_list(F.when(keep, F.col("sent_no")))).alias("kept"))
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("chunk_no", "kept"))).alias("picks"))
+        .agg(F.sort_array(F.collect_list(F.struct("_part", "kept"))).alias("picks"))
     )
 
 

@@ -37,7 +37,7 @@ def compare(spark, con, sf, query, sql):
     t0 = time.time()
     got = query(spark, sf).toArrow().to_pydict()
     t1 = time.time()
-    want = con.execute(sql).fetch_arrow_table().to_pydict()
+    want = con.sql(sql).to_arrow_table().to_pydict()
     t2 = time.time()
     a, b = rows_of(got), rows_of(want)
     return a, b, t1 - t0, t2 - t1
