@@ -12,6 +12,7 @@ import functools
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,12 +145,12 @@ def stem_tokens(tokens: Column) -> Column:
 
     @F.arrow_udf("array<string>")
     def stems(rows: pa.Array) -> pa.Array:
-        coded = pa.compute.dictionary_encode(rows.flatten())
+        coded = pc.dictionary_encode(rows.flatten())
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         done = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-        ends = pa.compute.cumulative_sum(
-            pa.compute.fill_null(rows.value_lengths(), 0).cast(pa.int32())
+        ends = pc.cumulative_sum(
+            pc.fill_null(rows.value_lengths(), 0).cast(pa.int32())
         )
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
         return pa.ListArray.from_arrays(offsets, done.take(coded.indices))

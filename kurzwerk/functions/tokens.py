@@ -7,6 +7,7 @@ import os
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +51,8 @@ class Units:
 @functools.lru_cache(maxsize=4)
 def load_tokenizer(path: str):
     """One tokenizer per Python worker and file; files added to the job are found too."""
+    # One task has one core; the library's own threads would only compete.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if not os.path.exists(path):
@@ -59,11 +62,6 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def list_of_lists(array: pa.ListArray) -> tuple[list, list]:
-    """Row lengths and the flattened values of a list column."""
-    return array.value_lengths().to_pylist(), array.flatten().to_pylist()
-
-
 class Subwords:
     """Counts ids of a tokenizer file (``tokenizers`` JSON), without special tokens.
 
@@ -94,7 +92,8 @@ class Subwords:
                 rows.flatten().to_pylist(), add_special_tokens=False
             )
             sizes = pa.array([len(e.ids) for e in coded], pa.int32())
-            ends = pa.compute.cumulative_sum(rows.value_lengths().cast(pa.int32()))
+            lengths = pc.fill_null(rows.value_lengths(), 0).cast(pa.int32())
+            ends = pc.cumulative_sum(lengths)
             offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
             return pa.ListArray.from_arrays(offsets, sizes)
 

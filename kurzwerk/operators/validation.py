@@ -17,15 +17,31 @@ def decode_data_url(contents: Column) -> Column:
     missing comma and wrong padding are refused.
     """
     comma = F.instr(contents, ",")
-    payload = F.substr(contents, comma + 1)
-    code = F.regexp_replace(payload, "[^A-Za-z0-9+/=]", "")
-    fits = (
-        (comma > 0)
-        & ~payload.rlike(r"[^\x00-\x7F]")
-        & code.rlike(r"\A[A-Za-z0-9+/]*+={0,2}\z")
-        & (F.length(code) % 4 == 0)
-    )
-    return F.when(fits, F.unbase64(code))
+    foreign = "[^A-Za-z0-9+/=]+"
+
+    def lenient(payload: Column) -> Column:
+        return X.let(
+            F.regexp_replace(payload, foreign, ""),
+            lambda c: F.when(
+                c.rlike(r"\A[A-Za-z0-9+/]*+={0,2}\z")
+                & (F.length(c) % 4 == 0)
+                & ~payload.rlike(r"[^\x00-\x7F]"),
+                F.unbase64(c),
+            ),
+        )
+
+    def decode(payload: Column) -> Column:
+        # The strict decoder settles well-formed payloads without any regex; it
+        # would also take unpadded ones, hence the comparison of the lengths.
+        size = F.length(F.translate(payload, " \t\r\n", ""))
+        return X.let(
+            F.try_to_binary(payload, F.lit("base64")),
+            lambda strict: F.when(
+                strict.isNotNull() & (size == 4 * F.ceil(F.octet_length(strict) / 3)), strict
+            ).otherwise(lenient(payload)),
+        )
+
+    return F.when(comma > 0, X.let(F.substr(contents, comma + 1), decode))
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:

@@ -14,11 +14,17 @@ PAGES = pa.struct([("pages", pa.list_(pa.string())), ("error", pa.string())])
 Extractor = Callable[[Column], Column]
 
 
-def read_files(spark: SparkSession, path: str, params: Params = Params()) -> DataFrame:
+def read_files(
+    spark: SparkSession,
+    path: str,
+    params: Params = Params(),
+    manifest: DataFrame | None = None,
+) -> DataFrame:
     """``filename, size, content`` of every file below a folder.
 
     The size filter reaches the scan, so the bytes of oversize files are never
-    read; they stay as rows without content.
+    read; they stay as rows without content. Spark's file scans pass over files of
+    zero bytes; a ``manifest`` of the folder (``filename, size``) brings these in.
     """
     files = (
         spark.read.format("binaryFile")
@@ -31,6 +37,14 @@ def read_files(spark: SparkSession, path: str, params: Params = Params()) -> Dat
     skipped = files.filter(~fits).select(
         "filename", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content")
     )
+    if manifest is not None:
+        loaded = loaded.unionByName(
+            manifest.filter("size = 0").select(
+                "filename",
+                F.lit(0).cast("bigint").alias("size"),
+                F.lit("").cast("binary").alias("content"),
+            )
+        )
     return loaded.unionByName(skipped)
 
 
