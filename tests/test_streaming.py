@@ -1,0 +1,43 @@
+import base64
+
+from kurzwerk.params import Params
+from kurzwerk.sources.uploads import plain_text_pages
+from kurzwerk.streaming import intake as SI
+
+
+def data_url(text: str) -> str:
+    return "data:application/pdf;base64," + base64.b64encode(text.encode()).decode()
+
+
+def test_each_upload_is_taken_once_over_restarts(spark, tmp_path):
+    schema = "doc_id long, filename string, contents string"
+    arrivals = [
+        [(1, "a.pdf", data_url("eins\fzwei")), (2, "b.txt", data_url("x"))],
+        [(3, "c.pdf", data_url("  ")), (4, None, data_url("x"))],
+        [(5, "d.pdf", data_url("Wort-\nteil"))],
+    ]
+    for i, rows in enumerate(arrivals):
+        batch = spark.createDataFrame(rows, schema)
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = SI.read_stream(spark, str(tmp_path / "in"), batch.schema, files_per_batch=1)
+        SI.start_intake(
+            stream, plain_text_pages(), str(tmp_path / "out"), str(tmp_path / "state"), keys=["doc_id"]
+        ).awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "out"))
+        assert got.count() == [2, 3, 4][i]
+    assert {r.doc_id: (r.reason, r.text) for r in got.collect()} == {
+        1: (None, "eins zwei"), 2: ("extension", None), 3: ("no_text", None), 5: (None, "Wortteil"),
+    }
+
+
+def test_page_rows_are_assembled_per_batch(spark, tmp_path):
+    schema = "doc_id long, page_no int, text string"
+    for rows in ([(1, 2, "b"), (1, 1, "a"), (2, 1, None)], [(3, 1, "x"), (3, 2, "y"), (3, 3, "z")]):
+        batch = spark.createDataFrame(rows, schema)
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = SI.read_stream(spark, str(tmp_path / "in"), batch.schema)
+        SI.start_page_intake(
+            stream, str(tmp_path / "out"), str(tmp_path / "state"), Params(max_pages=2)
+        ).awaitTermination()
+    got = {r.doc_id: (r.reason, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (None, "a b"), 2: ("no_text", None), 3: ("page_cap", None)}
