@@ -102,7 +102,7 @@ def merge_summaries(
         "n_chunks",
         "n_failed",
         "input_characters",
-        F.bround("elapsed", 2).alias("elapsed"),
+        X.python_round(F.col("elapsed"), 2).alias("elapsed"),
         *(["source_words"] if source_words else []),
     )
 

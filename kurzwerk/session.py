@@ -53,3 +53,19 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="kurzwerk-")
     return f"{base.rstrip('/')}/kurzwerk/{purpose}-{uuid.uuid4().hex}"
+
+
+def scale_settings(input_bytes: int, partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Session settings for a corpus of a given size.
+
+    Enough shuffle partitions that one of them holds about ``partition_bytes`` of
+    text; adaptive execution joins those that turn out small.
+    """
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }
