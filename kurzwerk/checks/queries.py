@@ -344,13 +344,13 @@ def q_coverage(spark, sf):
 
 def q_document_report(spark, sf):
     """The whole way from raw documents to result records, with the default limits."""
-    return PS.summarise_documents(cleaned(spark, sf)).drop("processing_time_seconds")
+    return PS.summarise_documents(documents(spark, sf)).drop("processing_time_seconds")
 
 
 def q_document_report_small_window(spark, sf):
     """As ``document_report`` for a model with a small window: many chunks per document."""
     params = Params(max_tokens=MAX, overlap_tokens=OVERLAP, max_summary_tokens=40, min_summary_tokens=10)
-    return PS.summarise_documents(cleaned(spark, sf), params=params).drop(
+    return PS.summarise_documents(documents(spark, sf), params=params).drop(
         "processing_time_seconds"
     )
 
@@ -369,7 +369,7 @@ def load_first_words():
 
 def q_map_summarizer(spark, sf):
     params = Params(max_tokens=MAX, overlap_tokens=OVERLAP, model_name="first-words")
-    return PS.summarise_with_model(cleaned(spark, sf), load_first_words, params=params).drop(
+    return PS.summarise_with_model(documents(spark, sf), load_first_words, params=params).drop(
         "processing_time_seconds"
     )
 

@@ -13,6 +13,7 @@ NEWLINE_RUN = "\n+"
 BLANK_RUN = "[ \t]{2,}"
 # Unicode white space; the possessive forms and the look-behind keep both ends linear.
 EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z"
+VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 SENTENCE_GAP = r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"
 WORD = r"[\p{L}\p{N}_]+"
 UNIT = "[^ ]+"
@@ -29,6 +30,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 
 
+def is_visible(text: Column) -> Column:
+    """True unless the text is empty or all white space; stops at the first other character."""
+    return text.rlike(VISIBLE)
+
+
 def clean_text(raw: Column) -> Column:
     """Undo extraction artefacts: CR, hyphen breaks, newlines, blank runs, edges."""
     text = F.replace(raw, F.lit("\r"), F.lit(" "))

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from kurzwerk.functions import text as X
 
-VISIBLE = r"(?U)[^\s\x1c-\x1f]"
-
-
 def join_pages(pages: Column) -> Column:
     """Text of an ARRAY<STRING> of pages: failed (null) pages count as empty."""
     return X.strip(
@@ -35,7 +32,7 @@ def assemble_pages(
     totals = pages.groupBy(doc).agg(
         F.count("*").alias("num_pages"),
         F.count_if(F.col(text).isNull()).alias("n_page_errors"),
-        F.coalesce(F.bool_or(F.col(text).rlike(VISIBLE)), F.lit(False)).alias("has_text"),
+        F.coalesce(F.bool_or(X.is_visible(F.col(text))), F.lit(False)).alias("has_text"),
     )
     rank = F.row_number().over(Window.partitionBy(doc).orderBy(page_no))
     joined = (
