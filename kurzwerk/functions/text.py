@@ -12,6 +12,7 @@ HYPHEN_BREAK = "-\n(?=[a-zäöüß])"
 NEWLINE_RUN = "\n+"
 BLANK_RUN = "[ \t]{2,}"
 # Unicode white space; the possessive forms and the look-behind keep both ends linear.
+SPACE = r"(?U)[\s\x1c-\x1f]"
 EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z"
 VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 SENTENCE_GAP = r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"
@@ -26,8 +27,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    """Remove Unicode white space at both ends; texts without any are not searched."""
+
+    def cut(t: Column) -> Column:
+        ends = F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
+        return F.when(ends.rlike(SPACE), F.regexp_replace(t, EDGE_SPACE, "")).otherwise(t)
+
+    return let(text, cut)
 
 
 def is_visible(text: Column) -> Column:
@@ -69,14 +75,27 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
+def blank_count(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+
+
 def unit_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(UNIT))
+    """Number of units; one more than the blanks where these stand single and inside."""
+    single = (
+        ~F.contains(text, F.lit("  "))
+        & ~F.startswith(text, F.lit(" "))
+        & ~F.endswith(text, F.lit(" "))
+        & (text != "")
+    )
+    return F.when(single, blank_count(text) + 1).otherwise(F.regexp_count(text, F.lit(UNIT)))
 
 
 def first_units(text: Column, limit: int) -> Column:
     """The text itself, or its first ``limit`` units when it has more."""
-    return F.when(unit_count(text) <= limit, text).otherwise(
-        F.array_join(F.slice(units(text), 1, limit), " ")
+    return (
+        F.when(blank_count(text) < limit, text)
+        .when(unit_count(text) <= limit, text)
+        .otherwise(F.array_join(F.slice(units(text), 1, limit), " "))
     )
 
 
