@@ -6,16 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kurzwerk.llm import quality, warc
+from kurzwerk.llm import byte_bpe, quality, token_counts, token_files, warc
 from kurzwerk.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.roundtrip(spark, read_table(spark, sf, "pages"))
 
 
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return token_counts.token_counts(docs, vocabulary("piece_bpe_32k.model"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return byte_bpe.digests(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return token_files.roundtrip(spark, docs, vocabulary("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf, "documents"))
 
