@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kurzwerk.llm import byte_bpe, html_text, quality, token_counts, token_files, warc
+from kurzwerk.llm import byte_bpe, decontaminate, html_text, quality, token_counts, token_files, warc
 from kurzwerk.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.roundtrip(spark, docs, vocabulary("word_bpe_49k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return decontaminate.contaminated(docs, read_table(spark, sf, "benchmark"))
+
+
 def op9_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf, "pages"))
 
