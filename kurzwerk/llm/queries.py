@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kurzwerk.llm import byte_bpe, decontaminate, html_text, quality, token_counts, token_files, warc
+from kurzwerk.llm import (
+    byte_bpe,
+    decontaminate,
+    html_text,
+    near_dedup,
+    quality,
+    token_counts,
+    token_files,
+    warc,
+)
 from kurzwerk.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +37,10 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(docs, vocabulary("piece_bpe_32k.model"))
 
 
+def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_classes(read_table(spark, sf, "documents")).drop("digest")
+
+
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     return byte_bpe.digests(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
