@@ -12,6 +12,7 @@ from kurzwerk.llm import (
     html_text,
     near_dedup,
     quality,
+    suffix_dedup,
     token_counts,
     token_files,
     warc,
@@ -32,6 +33,10 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.roundtrip(spark, read_table(spark, sf, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     return token_counts.token_counts(docs, vocabulary("piece_bpe_32k.model"))
