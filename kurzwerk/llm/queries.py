@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kurzwerk.llm import (
     byte_bpe,
+    class_lm,
     decontaminate,
     html_text,
     near_dedup,
@@ -61,6 +62,10 @@ def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(docs, read_table(spark, sf, "benchmark"))
 
 
+def op8_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return class_lm.score(read_table(spark, sf, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf, "pages"))
 
