@@ -29,7 +29,7 @@ from kurzwerk.session import work_dir
 MASK_DELTA = 0xA282EAD8
 BODY_HEAD = struct.Struct("<?qQB")
 INDEX_ENTRY = struct.Struct("<QQQ")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Distinct words that go to the tokenizer as one text.
 JOINED_WORDS = 512
 
@@ -79,45 +79,48 @@ def parse_body(body: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class WordIds:
-    """Ids of texts by a tokenizer file whose pre-tokenizer drops blanks.
+    """Ids of texts by a tokenizer file that ignores case, drops blanks and parts letters.
 
     The ids of a text are those of its words, one after another, so each distinct word
     is encoded once and remembered. Unknown words go to the library many at a time, as
-    one text with a blank between them; the offsets tell whose each id is.
+    one text that is split already; it tells whose each id is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: Number of a word; its ids are flat[starts[number] : starts[number + 1]].
+        self.number: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
 
     def encode_words(self, words: list[str]) -> None:
-        texts, bounds = [], []
-        for k in range(0, len(words), JOINED_WORDS):
-            part = words[k : k + JOINED_WORDS]
-            texts.append(" ".join(part))
-            bounds.append(np.cumsum([0] + [len(w) + 1 for w in part]))
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        for k, (done, at) in enumerate(zip(encoded, bounds)):
-            ids = np.array(done.ids, np.uint32)
-            first = np.array([a for a, _ in done.offsets], np.int64)
-            cuts = np.searchsorted(first, at)
-            for j, word in enumerate(words[k * JOINED_WORDS : (k + 1) * JOINED_WORDS]):
-                self.memory[word] = ids[cuts[j] : cuts[j + 1]].copy()
+        parts = [words[k : k + JOINED_WORDS] for k in range(0, len(words), JOINED_WORDS)]
+        encoded = self.tokenizer.encode_batch(parts, is_pretokenized=True, add_special_tokens=False)
+        flat, sizes = [self.flat], [np.zeros(0, np.int64)]
+        for part, done in zip(parts, encoded):
+            flat.append(np.array(done.ids, np.uint32))
+            sizes.append(np.bincount(np.array(done.word_ids, np.int64), minlength=len(part)))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.flat = np.concatenate(flat)
+        ends = self.starts[-1] + np.cumsum(np.concatenate(sizes))
+        self.starts = np.concatenate([self.starts, ends])
 
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words, codes, at = coded_words(data, offsets)
-        if len(self.memory) + len(words) > CACHE_WORDS:
-            self.memory.clear()
-        self.encode_words([w for w in words if w not in self.memory])
-        distinct = [self.memory[w] for w in words]
-        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        flat = np.concatenate(distinct) if distinct else np.zeros(0, np.uint32)
-        first = np.cumsum(sizes) - sizes
+        words, codes, at = coded_words(data, offsets, caseless=True)
+        if len(self.number) + len(words) > CACHE_WORDS:
+            self.forget()
+        self.encode_words([w for w in words if w not in self.number])
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        first = self.starts[numbers][codes]
+        sizes = self.starts[numbers + 1][codes] - first
         ends = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(sizes[codes], out=ends[1:])
-        return ragged_take(flat, first[codes], sizes[codes]), ends[at]
+        np.cumsum(sizes, out=ends[1:])
+        return ragged_take(self.flat, first, sizes), ends[at]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every row."""

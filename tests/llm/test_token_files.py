@@ -12,7 +12,7 @@ from kurzwerk.session import work_dir
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 PATH = public.path("word_bpe_49k.json")
-ROWS = ["Once upon  a\ttime.", None, "", "É İ ß é 'S <|endoftext|> x\x1cy 　z", "a\n\nb", "tail " * 3000]
+ROWS = ["Once upon  a\ttime.", None, "", "É İ ß é 'S <|endoftext|> x\x1cy 　z", "a\n\nb", "tail " * 3000, "".join(map(chr, range(33, 3000)))]
 
 
 def library(text):
@@ -39,7 +39,7 @@ def test_files_hold_ascending_documents(spark):
 
 def test_records_by_number_and_file_sizes(spark):
     place = work_dir(spark, "records")
-    files = T.placed(T.write_token_files(frame(spark, ROWS).coalesce(1), PATH, place, 2, 300)).collect()
+    files = T.placed(T.write_token_files(frame(spark, ROWS).coalesce(1), PATH, place, 2, 100)).collect()
     assert sum(f.n_records for f in files) == len(ROWS) and len(files) > 1
     number = 0
     for f in sorted(files, key=lambda f: (f.part, f.file_no)):
