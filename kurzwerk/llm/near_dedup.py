@@ -25,9 +25,14 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 5
 #: Up to so many keys are broadcast (24 bytes each); beyond, the join is a shuffle.
 BROADCAST_KEYS = 2_000_000
-#: Buckets up to this size have all pairs of different components compared; in larger
-#: ones every member meets one pivot per round, until a round finds no link.
+#: Buckets up to this size have all pairs of different components compared. In larger
+#: ones the members outside of the largest component meet ``PIVOTS`` texts of it and
+#: one of the others per round, until a round finds no link.
 SMALL_BUCKET = 50
+PIVOTS = 8
+#: Share of equal coordinates below which a pair is not verified: 4.6 standard deviations
+#: under that of a pair of similarity 0.8.
+LEAST_EQUAL = 0.64
 #: Ranks below 2 ** -FIRST_BAND are one cell of the dart board, those above are doubled.
 FIRST_BAND = 12
 
@@ -154,23 +159,29 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """digest and band keys of every row with words."""
+    """digest, band keys and a sketch (8 bits per coordinate) of every row with words."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         darts = DARTS.setdefault(bands * rows, Darts(bands * rows))
-        keys, held = [], []
+        keys, held, marks = [], [], []
         for _, _, data, offsets in slices(batch.column("text")):
             units, at = SHINGLER.units(data, offsets)
             some = np.diff(at) > 0
             held.append(some)
             signature = darts.signatures(units, at)[some]
-            keys.append(band_keys(np.ascontiguousarray(signature), bands, rows))
+            signature = np.ascontiguousarray(signature)
+            keys.append(band_keys(signature, bands, rows))
+            marks.append(mix(signature.view(np.uint64)).astype(np.uint8).view(np.int8))
         flat = np.concatenate(keys).view(np.int64).reshape(-1)
         digests = batch.column("digest").filter(pa.array(np.concatenate(held)))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), bands).cast(pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([digests, lists], ["digest", "keys"])
+        flat = np.concatenate(marks).reshape(-1)
+        sketch = pa.FixedSizeListArray.from_arrays(pa.array(flat), bands * rows)
+        sketch = sketch.cast(pa.list_(pa.int8()))
+        return pa.RecordBatch.from_arrays([digests, lists, sketch], ["digest", "keys", "sketch"])
 
-    return map_batches(docs.select("digest", "text"), step, "digest binary, keys array<bigint>")
+    schema = "digest binary, keys array<bigint>, sketch array<tinyint>"
+    return map_batches(docs.select("digest", "text"), step, schema)
 
 
 def unit_sets(texts: DataFrame) -> DataFrame:
@@ -197,14 +208,30 @@ def only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(keys, on, "left_semi")
 
 
-def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact weighted similarity is high enough."""
-    a = units.withColumnsRenamed({"digest": "a", "units": "units_a"})
-    b = units.withColumnsRenamed({"digest": "b", "units": "units_b"})
-    both = pairs.join(a, "a").join(b, "b")
+def verified(
+    pairs: DataFrame, sketches: DataFrame, units: DataFrame, similarity: float, purpose: str
+) -> DataFrame:
+    """The pairs (a, b) whose exact weighted similarity is high enough, as a table.
+
+    Sketches sort out what is far from it; only texts of the other pairs travel.
+    """
+    side = lambda t, value, c: t.select(F.col("digest").alias(c), F.col(value).alias(f"{value}_{c}"))
+    near = pairs.join(side(sketches, "sketch", "a"), "a").join(side(sketches, "sketch", "b"), "b")
+    equal = F.aggregate(
+        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.when(x == y, 1).otherwise(0)),
+        F.lit(0),
+        lambda total, x: total + x,
+    )
+    least = LEAST_EQUAL - (SIMILARITY - similarity)
+    near = near.filter(equal >= F.size("sketch_a") * least).select("a", "b")
+    near = stored(near, f"pairs-{purpose}")
+    needed = near.select(F.col("a").alias("digest")).union(near.select("b")).distinct()
+    needed = only(units, stored(needed, f"texts-{purpose}"), "digest")
+    both = near.join(side(needed, "units", "a"), "a").join(side(needed, "units", "b"), "b")
     shared = F.size(F.array_intersect("units_a", "units_b"))
     union = F.size("units_a") + F.size("units_b") - shared
-    return both.filter(shared >= F.lit(similarity) * union).select("a", "b")
+    links = both.filter(shared >= F.lit(similarity) * union).select("a", "b")
+    return stored(links, f"links-{purpose}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,6 +286,32 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def small_pairs(still: DataFrame) -> DataFrame:
+    """All pairs of different components, in buckets of bounded size."""
+    other = still.select("key", F.col("digest").alias("other"), F.col("label").alias("other_label"))
+    pairs = still.join(other, "key").filter("digest < other and label <> other_label")
+    return pairs.select("digest", "other")
+
+
+def pivot_pairs(large: DataFrame, number: int) -> DataFrame:
+    """Members outside of a bucket's largest component with pivots, a bounded number each.
+
+    The pivots are those of lowest hash, with the same hash in every bucket, so that a
+    text meets few of them over all its buckets.
+    """
+    turn = [F.xxhash64(F.lit(number * PIVOTS + k), "digest") for k in range(PIVOTS)]
+    lowest = [F.min(F.struct(h.alias("h"), "digest", "label")).alias(f"p{k}") for k, h in enumerate(turn)]
+    parts = large.groupBy("key", "label").agg(F.count("*").alias("c"), *lowest)
+    size = F.struct("c", "label")
+    most = parts.groupBy("key").agg(F.max(F.struct(size.alias("s"), *[f"p{k}" for k in range(PIVOTS)])).alias("m"))
+    most = most.select("key", F.col("m.s.label").alias("most"), *[f"m.p{k}" for k in range(PIVOTS)])
+    rest = large.join(most, "key").filter("label <> most")
+    inner = rest.groupBy("key").agg(lowest[0].alias("one"))
+    pivots = F.array(*[f"p{k}" for k in range(PIVOTS)], "one")
+    met = rest.join(inner, "key").select("digest", "label", F.explode(pivots).alias("p"))
+    return met.filter("label <> p.label").select("digest", F.col("p.digest").alias("other"))
+
+
 def near_classes(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -270,8 +323,8 @@ def near_classes(
     class is what links connect, its id the smallest doc_id in it. Candidates share one
     of ``bands`` bands of ``rows`` signature coordinates and are verified exactly. Equal
     texts are handled once. In a bucket, texts meet one pivot first; then only texts of
-    different components meet, all of them in small buckets, one pivot per round in
-    larger ones, until a round finds no link.
+    different components meet, all of them in small buckets, a bounded number of pivots
+    per round in larger ones, until a round finds no link.
 
     Null texts are empty; empty texts are one class. Null ids take part and have no say
     in class_id. Repeated rows give a row each. Other columns are ignored; no rows give
@@ -279,37 +332,38 @@ def near_classes(
     """
     rows_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows_in = rows_in.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    banded = sketches(rows_in, bands, rows).groupBy("digest").agg(F.first("keys").alias("keys"))
+    first = F.first(F.struct("keys", "sketch")).alias("s")
+    banded = sketches(rows_in, bands, rows).groupBy("digest").agg(first).select("digest", "s.*")
     banded = stored(banded, "sketches")
     exploded = banded.select("digest", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("pivot")).filter("n > 1")
-    members = stored(exploded.join(shared, "key"), "buckets")
+    shared = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("pivot"))
+    members = stored(exploded.join(shared.filter("n > 1"), "key"), "buckets")
     texts = stored(members.select("digest").distinct(), "bucket-texts")
-    units = unit_sets(only(rows_in, texts, "digest")).groupBy("digest").agg(F.first("units").alias("units"))
-    units = stored(units, "units")
+    units = unit_sets(only(rows_in, texts, "digest")).groupBy("digest")
+    units = stored(units.agg(F.first("units").alias("units")), "units")
+    marks = stored(only(banded.select("digest", "sketch"), texts, "digest"), "bucket-sketches")
 
     # The pivot that most bands give.
     votes = members.filter("digest <> pivot").groupBy("digest", "pivot").agg(F.count("*").alias("v"))
-    first = votes.groupBy("digest").agg(F.min(F.struct((-F.col("v")).alias("v"), "pivot")).alias("p"))
-    links = stored(verified(ordered(first.select("digest", F.col("p.pivot").alias("other"))), units, similarity), "links-0")
+    voted = votes.groupBy("digest").agg(F.min(F.struct((-F.col("v")).alias("v"), "pivot")).alias("p"))
+    pairs = ordered(voted.select("digest", F.col("p.pivot").alias("other")))
+    links = verified(pairs, marks, units, similarity, "0")
     labels = components(links)
+    members = members.select("key", "digest")
     number, found = 0, True
     while found:
         number += 1
-        still = open_buckets(members.select("key", "digest"), labels)
-        small = still.filter(F.col("n") <= SMALL_BUCKET)
-        other = small.select("key", F.col("digest").alias("other"), F.col("label").alias("other_label"))
-        pairs = small.join(other, "key").filter("digest < other and label <> other_label").select("digest", "other")
+        still = open_buckets(members, labels)
         large = still.filter(F.col("n") > SMALL_BUCKET)
-        turn = F.xxhash64(F.lit(number), "key", "digest")
-        pivots = large.groupBy("key").agg(F.min(F.struct(turn, "digest", "label")).alias("p"))
-        pivots = pivots.select("key", F.col("p.digest").alias("other"), F.col("p.label").alias("other_label"))
-        met = large.join(pivots, "key").filter("label <> other_label").select("digest", "other")
-        new = stored(verified(ordered(pairs.union(met)), units, similarity), f"links-{number}")
+        pairs = pivot_pairs(large, number)
+        if number == 1:
+            pairs = pairs.union(small_pairs(still.filter(F.col("n") <= SMALL_BUCKET)))
+        new = verified(ordered(pairs), marks, units, similarity, str(number))
         found = new.limit(1).count() > 0
         if found:
             links = links.union(new)
             labels = components(links)
+            members = large.select("key", "digest")
 
     ids = rows_in.select("doc_id", "digest")
     roots = ids.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select(
