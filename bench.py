@@ -40,6 +40,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, "kurzwerk-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("kurzwerk.read.tasks", str(cpus))
     known = Q.registered()
     # Start the JVM paths and the Python workers before anything is timed.
     known["chunk_text"](spark, folder).limit(1).collect()

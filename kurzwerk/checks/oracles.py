@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kurzwerk import params as P
-from kurzwerk.checks.queries import MAX, OVERLAP, UPLOAD_PARAMS
+from kurzwerk.checks.queries import ARTICLE_CHARS, MAX, MODEL_TOKENS, OVERLAP, UPLOAD_PARAMS
 from kurzwerk.operators.summarize import EXTRACTIVE
 
 SPACE = "(chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ')"
@@ -127,7 +127,7 @@ def summary_ctes(most: int, least: int, source: str = "chunks") -> str:
 sents AS (
   SELECT doc_id, chunk_no, sent_no, s[sent_no] AS sentence, {words('s[sent_no]')} AS toks
   FROM (SELECT doc_id, chunk_no, s, unnest(range(1, len(s) + 1)) AS sent_no
-        FROM (SELECT doc_id, chunk_no, {sentences('(' + first_units('chunk', 1022) + ')')} AS s
+        FROM (SELECT doc_id, chunk_no, {sentences('chunk')} AS s
               FROM {source}))
 ),
 toks AS (SELECT doc_id, chunk_no, sent_no, unnest(toks) AS token FROM sents),
@@ -154,7 +154,8 @@ partials AS (
 
 MERGED = f"""
 results AS (
-  SELECT doc_id, chunk_no, chunk, summary, '{EXTRACTIVE}' AS model_name, NULL::VARCHAR AS error
+  SELECT doc_id, chunk_no, chunk, summary, '{EXTRACTIVE}' AS model_name, NULL::VARCHAR AS error,
+    false AS truncated
   FROM partials
 )"""
 
@@ -167,6 +168,8 @@ docs AS (
     coalesce(arg_max(model_name, chunk_no) FILTER (WHERE model_name IS NOT NULL), 'unknown')
       AS model_name,
     count(*) AS n_chunks, count(error) AS n_failed,
+    arg_min(error, chunk_no) FILTER (WHERE error IS NOT NULL) AS error,
+    bool_or(truncated) AS truncated,
     sum(length(chunk))::BIGINT AS input_characters,
     string_agg(chunk, ' ' ORDER BY chunk_no) AS source
   FROM results GROUP BY doc_id
@@ -192,7 +195,7 @@ SELECT *, CASE WHEN extractive_coverage IS NOT NULL
   FROM (
     SELECT doc_id, CASE WHEN n_failed > 0 THEN 'failed' ELSE 'success' END AS status,
       CASE WHEN n_failed > 0 THEN '{P.MSG_SERVICE_PREFIX + P.MSG_SERVICE_DOWN}' END AS message,
-      summary, model_name, input_characters, length(summary) AS summary_characters, n_chunks,
+      error, truncated, summary, model_name, input_characters, length(summary) AS summary_characters, n_chunks,
       {covered('source', 'summary')} AS covered_words,
       len({words('summary')}) AS summary_words
     FROM docs
@@ -302,7 +305,7 @@ CLASSIFIED = f"""WITH {UPLOADS}, {LATE}
 
 CLASSIFIED_PAGES = f"""WITH {PAGES}, {ASSEMBLED}
 {outcome_sql(f'''SELECT doc_id, doc_id::VARCHAR AS filename,
-  CASE WHEN num_pages <= {UPLOAD_PARAMS.max_pages} THEN text END AS body, num_pages, n_page_errors,
+  text AS body, num_pages, n_page_errors,
   CASE WHEN text = '' THEN 'no_text' WHEN num_pages > {UPLOAD_PARAMS.max_pages} THEN 'page_cap'
   END AS reason FROM assembled''', 'doc_id', 'length(body) AS num_characters, n_page_errors,')}"""
 
@@ -379,12 +382,23 @@ FROM (SELECT *, CASE WHEN candidate > 0 THEN overlap::DOUBLE / candidate ELSE 0.
       FROM {source})"""
 
 
-def detail_ctes() -> str:
+ARTICLE_PARTIALS = f"""
+cuts AS (SELECT doc_id, 0 AS chunk_no, text AS chunk FROM articles),
+{summary_ctes(180, 30, 'cuts')}"""
+
+HOOK_PARTIALS = f"""
+cuts AS (SELECT doc_id, {first_units('text', 1022)} AS chunk FROM articles),
+partials AS (
+  SELECT doc_id, array_to_string(string_split(chunk, ' ')[1:12], ' ') || ' ' AS summary
+  FROM cuts WHERE NOT contains(chunk, 'Z')
+)"""
+
+
+def detail_ctes(partials: str = ARTICLE_PARTIALS) -> str:
     lead = f"array_to_string(({sentences(clean('text'))})[1:3], ' ')"
     return f"""
 articles AS (SELECT doc_id, text, {lead} AS reference FROM documents),
-cuts AS (SELECT doc_id, 0 AS chunk_no, substr(text, 1, 4000) AS chunk FROM articles),
-{summary_ctes(180, 30, 'cuts')},
+{partials},
 pairs AS (
   SELECT doc_id AS pair_id, reference, summary AS candidate
   FROM articles JOIN partials USING (doc_id)
@@ -419,20 +433,29 @@ results AS (
   SELECT conv_id AS doc_id, turn AS chunk_no, text AS chunk,
     ' ' || string_split(text, '.')[1] AS summary,
     CASE WHEN role <> 'system' THEN role END AS model_name,
-    CASE WHEN length(text) % 7 = 3 THEN 'refused' END AS error
+    CASE WHEN length(text) % 7 = 3 THEN 'refused' END AS error, false AS truncated
   FROM conversations
 )"""
 
-STAND_IN = """
+STAND_IN = f"""
 results AS (
-  SELECT doc_id, chunk_no, chunk,
-    CASE WHEN NOT contains(chunk, 'Z') THEN
-      array_to_string(string_split(chunk, ' ')[1:12], ' ') || ' ' END AS summary,
-    CASE WHEN NOT contains(chunk, 'Z') THEN 'first-words' END AS model_name,
-    CASE WHEN contains(chunk, 'Z') THEN 'refused' END AS error
-  FROM chunks
+  SELECT doc_id, chunk_no, chunk, truncated,
+    CASE WHEN NOT contains(seen, 'Z') THEN
+      array_to_string(string_split(seen, ' ')[1:12], ' ') || ' ' END AS summary,
+    CASE WHEN NOT contains(seen, 'Z') THEN 'first-words' END AS model_name,
+    CASE WHEN contains(seen, 'Z') THEN '{P.MSG_MODEL_FAILED} ValueError: refused' END AS error
+  FROM (SELECT *, {first_units('chunk', MODEL_TOKENS - 2)} AS seen,
+               len({units('chunk')}) + 2 >= {MODEL_TOKENS} AS truncated FROM chunks)
 )"""
 
+HOOK_REPORT = f"""WITH RECURSIVE {detail_ctes(HOOK_PARTIALS)}
+SELECT 'first-words' AS model_name, 'documents' AS dataset, num_samples,
+  (SELECT count(*) FROM documents) - num_samples AS n_failed,
+  {rounded('r1', 4)} AS rouge1_f_mean, {rounded('r2', 4)} AS rouge2_f_mean,
+  {rounded('rl', 4)} AS rougeL_f_mean, {rounded('rate', 4)} AS compression_rate_mean
+FROM (SELECT count(*) AS num_samples, avg(rouge1_f) AS r1, avg(rouge2_f) AS r2,
+             avg(rougeL_f) AS rl, avg(compression_rate) AS rate FROM detail)"""
+
 
 def statements() -> dict[str, str]:
     cut = units("text")
@@ -452,7 +475,7 @@ FROM (SELECT doc_id, unnest(range(0, len(s))) AS sent_no, unnest(s) AS sentence
         "truncate_tokens": f"""
 WITH {CLEANED}
 SELECT doc_id, {first_units('text', 1022)} AS text, len({cut}) + 2 >= 1024 AS truncated FROM src""",
-        "truncate_chars": "SELECT doc_id, substr(text, 1, 4000) AS article FROM documents",
+        "truncate_chars": f"SELECT doc_id, substr(text, 1, {ARTICLE_CHARS}) AS article FROM documents",
         "chunk_text": f"""{CHUNKED}
 SELECT doc_id, chunk_no, chunk, length(chunk) AS n_chars FROM chunks""",
         "chunk_text_default": f"""
@@ -490,7 +513,8 @@ SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND length(text)
 SELECT doc_id, chunk_no, summary, '{EXTRACTIVE}' AS model_name FROM partials""",
         "merge_summaries": f"""
 WITH {TURN_RESULTS}, {DOCS}
-SELECT doc_id, summary, model_name, n_chunks, n_failed, input_characters FROM docs""",
+SELECT doc_id, summary, model_name, n_chunks, n_failed, error, truncated, input_characters
+FROM docs""",
         "document_record": f"WITH {TURN_RESULTS}, {DOCS} {RECORD}",
         "compression": f"""{CHUNKED}, {summary_ctes(40, 10)}, {MERGED}, {DOCS}
 SELECT *, {share('summary_characters', 'input_characters', 3)} AS compression_rate
@@ -511,6 +535,7 @@ FROM (SELECT pair_id, {covered('candidate', 'reference')} AS covered,
         "eval_detail": f"WITH RECURSIVE {detail_ctes()} SELECT * FROM detail",
         "detail_csv": f"WITH RECURSIVE {detail_ctes()} SELECT * FROM detail",
         "eval_report": REPORT,
+        "eval_hook": HOOK_REPORT,
         "report_json": REPORT,
         "quantile": """
 SELECT round(quantile_cont(n_chars::DOUBLE, 0.95), 6) AS n_chars_p95 FROM documents""",

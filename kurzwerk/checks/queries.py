@@ -28,8 +28,9 @@ from kurzwerk.streaming import intake as SI
 Query = Callable[[SparkSession, str], DataFrame]
 
 MAX, OVERLAP = 100, 10
+ARTICLE_CHARS = 4000
+MODEL_TOKENS = 60
 UPLOAD_PARAMS = Params(max_file_size=4000, max_pages=5)
-MODEL_LIMIT = 40
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +101,7 @@ def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with their first three sentences as reference summary."""
+    """Documents with their first three sentences as a stand-in for a reference summary."""
     lead = F.array_join(F.slice(X.sentences(X.clean_text(F.col("text"))), 1, 3), " ")
     return documents(spark, sf).select(
         F.col("doc_id").alias("example_id"),
@@ -165,7 +166,7 @@ def q_truncate_tokens(spark, sf):
 
 def q_truncate_chars(spark, sf):
     return documents(spark, sf).select(
-        "doc_id", X.truncate_chars(F.col("text"), Params().eval_article_chars).alias("article")
+        "doc_id", X.truncate_chars(F.col("text"), ARTICLE_CHARS).alias("article")
     )
 
 
@@ -279,19 +280,17 @@ def q_incremental_intake(spark, sf):
 
 
 def q_incremental_pages(spark, sf):
-    """Page rows as a stream straight from the table's file."""
+    """Page rows as a stream of files; the pages of a document arrive in three batches."""
     place = work_dir(spark, "incremental-pages")
-    schema = spark.read.parquet(f"{sf}/conversations.parquet").schema
-    turns = SI.read_stream(spark, sf, schema, files="conversations.parquet")
-    pages = turns.select(
-        F.col("conv_id").alias("doc_id"),
-        F.col("turn").alias("page_no"),
-        F.when(F.col("role") != "system", F.col("text")).alias("text"),
-    )
+    pages = page_rows(spark, sf)
+    for part in range(3):
+        some = pages.filter(F.pmod(F.col("page_no"), F.lit(3)) == part)
+        some.coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = SI.read_stream(spark, f"{place}/in", pages.schema, files_per_batch=1)
     SI.start_page_intake(
-        pages, f"{place}/out", f"{place}/state", UPLOAD_PARAMS
+        stream, f"{place}/out", f"{place}/state", UPLOAD_PARAMS, buckets=4
     ).awaitTermination()
-    return spark.read.parquet(f"{place}/out").drop("batch")
+    return SI.read_page_outcomes(spark, f"{place}/out")
 
 
 # --- summaries and metrics --------------------------------------------------
@@ -368,7 +367,12 @@ def load_first_words():
 
 
 def q_map_summarizer(spark, sf):
-    params = Params(max_tokens=MAX, overlap_tokens=OVERLAP, model_name="first-words")
+    params = Params(
+        max_tokens=MAX,
+        overlap_tokens=OVERLAP,
+        model_input_tokens=MODEL_TOKENS,
+        model_name="first-words",
+    )
     return PS.summarise_with_model(documents(spark, sf), load_first_words, params=params).drop(
         "processing_time_seconds"
     )
@@ -412,7 +416,8 @@ def q_rouge_stemmed(spark, sf):
 
 
 def q_eval_detail(spark, sf):
-    return PE.detail_of(articles(spark, sf), stem=False).drop("processing_time_seconds")
+    detail = PE.detail_of(articles(spark, sf), stem=False)
+    return detail.drop("processing_time_seconds", "error")
 
 
 def timeless_report(detail: DataFrame) -> DataFrame:
@@ -420,7 +425,8 @@ def timeless_report(detail: DataFrame) -> DataFrame:
     timed = detail.withColumn(
         "processing_time_seconds", F.col("input_characters").cast("double")
     )
-    return E.evaluation_report(timed, S.EXTRACTIVE, "documents").withColumnsRenamed(
+    report = E.evaluation_report(timed.drop("error"), S.EXTRACTIVE, "documents")
+    return report.withColumnsRenamed(
         {
             "processing_time_seconds_mean": "input_characters_mean",
             "processing_time_seconds_p95": "input_characters_p95",
@@ -448,7 +454,7 @@ def q_report_json(spark, sf):
 def q_detail_csv(spark, sf):
     """The detail table written as CSV and read back."""
     place = work_dir(spark, "detail")
-    detail = PE.detail_of(articles(spark, sf), stem=False).drop("processing_time_seconds")
+    detail = q_eval_detail(spark, sf)
     reports.write_detail(detail, place)
     return reports.read_detail(spark, place, detail.schema)
 
@@ -459,8 +465,12 @@ def q_quantile(spark, sf):
 
 
 def q_eval_hook(spark, sf):
-    """The evaluation with a user's model and stemmed scores; times are measured."""
-    return PE.detail_of(articles(spark, sf), load=load_first_words)
+    """The report of an evaluation with a user's model that refuses some articles."""
+    place = work_dir(spark, "evaluation-hook")
+    detail = PE.detail_of(articles(spark, sf), stem=False, load=load_first_words)
+    detail = reports.materialize(detail, place)
+    report = E.evaluation_report(detail, "first-words", "documents")
+    return report.drop("processing_time_seconds_mean", "processing_time_seconds_p95")
 
 
 def q_sample_articles(spark, sf):

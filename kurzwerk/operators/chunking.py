@@ -40,7 +40,11 @@ def pack(counts: Sequence[int], max_tokens: int, overlap: int) -> list[tuple[int
 
 
 def slice_bounds(counts: Column, max_tokens: int, overlap: int) -> Column:
-    """``pack`` over an ARRAY<INT> column; only the integers travel to Python."""
+    """``pack`` over an ARRAY<INT> column; only the integers travel to Python.
+
+    Declared as not deterministic, so that Spark never moves it into the expressions
+    (and lambdas) built on its result.
+    """
 
     @F.arrow_udf("array<struct<a:int,b:int,hard:boolean>>")
     def bounds(rows: pa.Array) -> pa.Array:
@@ -57,7 +61,7 @@ def slice_bounds(counts: Column, max_tokens: int, overlap: int) -> Column:
         )
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
-    return bounds(counts)
+    return bounds.asNondeterministic()(counts)
 
 
 def _texts(

@@ -29,9 +29,11 @@ def evaluation_detail(
     """One row per example from ``key, reference, generated, input_characters, elapsed``.
 
     ``input_characters`` is the length of the full article; the rate is not
-    rounded and 0 for an empty article.
+    rounded and 0 for an empty article. With a column ``error``, the figures of
+    examples that have one are null, and it is handed through.
     """
-    generated = X.n_chars(F.col("generated"))
+    errors = ["error"] if "error" in examples.columns else []
+    generated = X.n_chars(F.coalesce("generated", F.lit("")))
     rate = F.when(
         F.col("input_characters") > 0, generated / F.col("input_characters")
     ).otherwise(0.0)
@@ -43,9 +45,16 @@ def evaluation_detail(
         rate.alias("compression_rate"),
         "input_characters",
         generated.alias("summary_characters"),
-    )
-    scores = rouge_scores(sized, key, "reference", "generated", stem=stem, carry=DETAIL[3:])
-    return scores.select(key, *DETAIL)
+        *errors,
+    ).withColumn("generated", F.coalesce("generated", F.lit("")))
+    carry = [*DETAIL[3:], *errors]
+    scores = rouge_scores(sized, key, "reference", "generated", stem=stem, carry=carry)
+    if not errors:
+        return scores.select(key, *DETAIL)
+    told = [c for c in DETAIL if c != "input_characters"]
+    figures = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in told]
+    scored = scores.select(key, "input_characters", "error", *figures)
+    return scored.select(key, *DETAIL, "error")
 
 
 def exact_quantile(
@@ -104,14 +113,24 @@ def evaluation_report(
     model_name: str = P.Params().model_name,
     dataset: str = P.EVAL_DATASET,
 ) -> DataFrame:
-    """The one-row report over a detail table."""
+    """The one-row report over a detail table.
+
+    With a column ``error``, examples that have one are left out and counted as
+    ``n_failed``.
+    """
+    failed = []
+    if "error" in detail.columns:
+        failed = [F.count("error").alias("n_failed")]
+        detail = detail.withColumn("_scored", F.col("error").isNull())
+    scored = F.col("_scored") if failed else F.lit(True)
 
     def mean(column: str, digits: int) -> Column:
         return X.python_round(F.avg(column), digits)
 
     p95 = exact_quantile(detail, "processing_time_seconds", 0.95)
     return detail.agg(
-        F.count("*").alias("num_samples"),
+        F.count_if(scored).alias("num_samples"),
+        *failed,
         mean("rouge1_f", 4).alias("rouge1_f_mean"),
         mean("rouge2_f", 4).alias("rouge2_f_mean"),
         mean("rougeL_f", 4).alias("rougeL_f_mean"),
@@ -121,6 +140,7 @@ def evaluation_report(
         F.lit(model_name).alias("model_name"),
         F.lit(dataset).alias("dataset"),
         "num_samples",
+        *(["n_failed"] if failed else []),
         "rouge1_f_mean",
         "rouge2_f_mean",
         "rougeL_f_mean",

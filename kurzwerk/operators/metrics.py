@@ -56,13 +56,16 @@ def merge_summaries(
 ) -> DataFrame:
     """Chunk results -> one row per document.
 
-    Expects ``chunk_no, chunk, summary, model_name, error, elapsed``. Gives
-    ``summary, model_name, n_chunks, n_failed, input_characters, elapsed`` and,
-    with ``source_words``, the distinct words of the source. One failed chunk
-    fails the document (summary null). Blocks of consecutive chunks are merged
+    Expects ``chunk_no, chunk, summary, model_name, error, elapsed`` and maybe
+    ``truncated``. Gives ``summary, model_name, n_chunks, n_failed, error,
+    truncated, input_characters, elapsed`` and, with ``source_words``, the distinct
+    words of the source. One failed chunk fails the document (summary null); its
+    error is that of the first failed chunk. Blocks of consecutive chunks are merged
     before whole documents, so a document with very many chunks is spread.
     """
     block = F.floor(F.col("chunk_no") / BLOCK)
+    cut = F.col("truncated") if "truncated" in results.columns else F.lit(False)
+    failed_at = F.when(F.col("error").isNotNull(), F.col("chunk_no"))
     partial = X.strip(F.coalesce("summary", F.lit("")))
     named = F.when(F.col("model_name").isNotNull(), F.col("chunk_no"))
     first = [
@@ -71,6 +74,9 @@ def merge_summaries(
         F.max("_named").alias("_named"),
         F.count("*").alias("_n"),
         F.count("error").alias("_failed"),
+        F.min_by("error", "_failed_at").alias("_error"),
+        F.min("_failed_at").alias("_failed_at"),
+        F.coalesce(F.bool_or(cut), F.lit(False)).alias("_cut"),
         F.sum(X.n_chars(F.col("chunk"))).alias("_chars"),
         F.sum("elapsed").alias("_elapsed"),
     ]
@@ -79,6 +85,8 @@ def merge_summaries(
         F.coalesce(F.max_by("_model", "_named"), F.lit("unknown")).alias("model_name"),
         F.sum("_n").alias("n_chunks"),
         F.sum("_failed").alias("n_failed"),
+        F.min_by("_error", "_failed_at").alias("error"),
+        F.bool_or("_cut").alias("truncated"),
         F.sum("_chars").alias("input_characters"),
         F.sum("_elapsed").alias("elapsed"),
     ]
@@ -90,6 +98,7 @@ def merge_summaries(
         results.withColumn("_block", block)
         .withColumn("_partial", partial)
         .withColumn("_named", named)
+        .withColumn("_failed_at", failed_at)
         .groupBy(*keys, "_block")
         .agg(*first)
         .groupBy(*keys)
@@ -101,6 +110,8 @@ def merge_summaries(
         "model_name",
         "n_chunks",
         "n_failed",
+        "error",
+        "truncated",
         "input_characters",
         X.python_round(F.col("elapsed"), 2).alias("elapsed"),
         *(["source_words"] if source_words else []),
@@ -116,10 +127,12 @@ def merge_arrays(done: DataFrame, keys: Sequence[str], model_name: str) -> DataF
         F.lit(model_name).alias("model_name"),
         F.size("chunks").cast("bigint").alias("n_chunks"),
         F.lit(0).cast("bigint").alias("n_failed"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit(False).alias("truncated"),
         F.aggregate(
             "chunks", F.lit(0).cast("bigint"), lambda total, c: total + F.length(c)
         ).alias("input_characters"),
-        F.lit(None).cast("double").alias("elapsed"),
+        X.python_round(F.col("elapsed"), 2).alias("elapsed"),
         F.array_distinct(X.word_tokens(F.array_join("chunks", " "))).alias("source_words"),
     )
 
@@ -132,6 +145,8 @@ def document_record(merged: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
         *keys,
         F.when(failed, "failed").otherwise("success").alias("status"),
         F.when(failed, F.lit(P.MSG_SERVICE_PREFIX + P.MSG_SERVICE_DOWN)).alias("message"),
+        "error",
+        "truncated",
         "summary",
         "model_name",
         F.col("elapsed").alias("processing_time_seconds"),

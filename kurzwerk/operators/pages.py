@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kurzwerk.functions import text as X
 
+
 def join_pages(pages: Column) -> Column:
     """Text of an ARRAY<STRING> of pages: failed (null) pages count as empty."""
     return X.strip(
@@ -19,41 +20,28 @@ def assemble_pages(
     doc: str = "doc_id",
     page_no: str = "page_no",
     text: str = "text",
-    max_pages: int = 20,
 ) -> DataFrame:
     """One row per document from one row per page; a failed page has a null text.
 
-    Result: ``doc, text, num_pages, num_characters, n_page_errors, has_text``.
-    Documents of more than ``max_pages`` pages are counted in full but their text
-    is withheld (null), so no document, however many pages it has, is ever
-    gathered whole: the page limit is applied before the shuffle (group limit
-    under the window) and the counts are combined on the map side.
+    Result: ``doc, text, num_pages, num_characters, n_page_errors, has_text``. There
+    is no limit of pages here; the text of a document is one value, whatever its size.
     """
-    totals = pages.groupBy(doc).agg(
-        F.count("*").alias("num_pages"),
-        F.count_if(F.col(text).isNull()).alias("n_page_errors"),
-        F.coalesce(F.bool_or(X.is_visible(F.col(text))), F.lit(False)).alias("has_text"),
-    )
-    rank = F.row_number().over(Window.partitionBy(doc).orderBy(page_no))
-    joined = (
-        pages.select(doc, page_no, F.coalesce(text, F.lit("")).alias("_page"))
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= max_pages)
-        .groupBy(doc)
+    return (
+        pages.groupBy(doc)
         .agg(
-            F.expr(f"listagg(_page, '\n') WITHIN GROUP (ORDER BY `{page_no}`)").alias("_joined")
+            F.count("*").alias("num_pages"),
+            F.count_if(F.col(text).isNull()).alias("n_page_errors"),
+            F.expr(
+                f"listagg(coalesce(`{text}`, ''), '\n') WITHIN GROUP (ORDER BY `{page_no}`)"
+            ).alias("_joined"),
         )
-    )
-    withheld = F.col("num_pages") > max_pages
-    return (
-        totals.join(joined, doc)
-        .withColumn("text", F.when(~withheld, X.strip(F.col("_joined"))))
+        .withColumn("text", X.strip(F.col("_joined")))
         .select(
             doc,
             "text",
             "num_pages",
             X.n_chars(F.col("text")).alias("num_characters"),
             "n_page_errors",
-            "has_text",
+            (F.col("text") != "").alias("has_text"),
         )
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import inspect
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kurzwerk import params as P
@@ -16,50 +20,59 @@ from kurzwerk.params import Params
 EXTRACTIVE = "extractive-tf"
 
 
-def _picked(
-    base: DataFrame, keys: Sequence[str], max_tokens: int, min_tokens: int
-) -> DataFrame:
-    """``keys, picks``: per chunk (in order) the numbers of the sentences to keep.
+PICKS = pa.struct([("kept", pa.list_(pa.list_(pa.int32()))), ("elapsed", pa.float64())])
+
+
+def kept_sentences(chunks: pa.Array, max_tokens: int, min_tokens: int) -> pa.Array:
+    """Per row and chunk, the numbers of the sentences to keep, for all rows at once.
 
-    Words, sentences and chunks become rows; every grouping key starts with
-    ``keys``, by which ``base`` is already partitioned, so nothing is shuffled.
-    Only numbers and single words are sorted, never the texts.
+    ``chunks`` holds rows of chunks of sentences of words. Frequencies are counted on
+    dictionary codes within a chunk; one sort ranks the sentences of all chunks.
     """
-    words = (
-        base.select(*keys, F.posexplode_outer("chunks").alias("_part", "_chunk"))
-        .select(*keys, "_part", F.posexplode_outer(X.sentences(F.col("_chunk"))))
-        .select(
-            *keys,
-            "_part",
-            F.col("pos").alias("sent_no"),
-            F.explode_outer(X.word_tokens(F.col("col"))).alias("word"),
-        )
-    )
-    # The hash adds nothing to the grouping; as the first sort key it lets the sort
-    # compare eight bytes instead of rows with strings.
-    group = [*keys, "_part", "word"]
-    frequency = F.count("word").over(Window.partitionBy("_hash", *group))
-    scored = (
-        words.withColumn("_hash", F.xxhash64(*group))
-        .withColumn("frequency", frequency)
-        .groupBy(*keys, "_part", "sent_no")
-        .agg(F.count("word").alias("n"), F.sum("frequency").alias("weight"))
-        .withColumn("score", F.when(F.col("n") > 0, F.col("weight") / F.col("n")))
-    )
-    best_first = Window.partitionBy(*keys, "_part").orderBy(
-        F.desc_nulls_last("score"), F.asc("sent_no")
-    )
-    running = F.sum("n").over(best_first.rowsBetween(Window.unboundedPreceding, 0))
-    keep = (F.col("n") > 0) & (
-        (F.col("running") <= max_tokens) | (F.col("running") - F.col("n") < min_tokens)
-    )
-    return (
-        scored.withColumn("running", running)
-        .groupBy(*keys, "_part")
-        .agg(F.sort_array(F.collect_list(F.when(keep, F.col("sent_no")))).alias("kept"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("_part", "kept"))).alias("picks"))
+
+    def sizes(lists: pa.Array) -> np.ndarray:
+        return pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+    sentences = chunks.flatten()
+    words = sentences.flatten()
+    chunk = np.repeat(np.arange(len(sentences)), sizes(sentences))
+    first = np.cumsum(sizes(sentences)) - sizes(sentences)
+    number = np.arange(len(words)) - first[chunk]
+    n = sizes(words)
+    sentence = np.repeat(np.arange(len(words)), n)
+    coded = words.flatten().dictionary_encode()
+    keys = chunk[sentence] * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+    _, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+    weight = np.bincount(sentence, weights=count[place], minlength=len(words))
+    some = np.flatnonzero(n > 0)
+    order = some[np.lexsort((number[some], -(weight[some] / n[some]), chunk[some]))]
+    running = np.cumsum(n[order])
+    opens = np.concatenate([[True], chunk[order][1:] != chunk[order][:-1]])[: len(order)]
+    running = running - np.maximum.accumulate(np.where(opens, running - n[order], 0))
+    keep = order[(running <= max_tokens) | (running - n[order] < min_tokens)]
+    keep.sort()
+    per_chunk = np.bincount(chunk[keep], minlength=len(sentences))
+    offsets = np.concatenate([[0], np.cumsum(per_chunk)])
+    lists = pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.array(number[keep], pa.int32())
     )
+    rows = np.concatenate([[0], np.cumsum(sizes(chunks))])
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), lists)
+
+
+def ranking(words: Column, max_tokens: int, min_tokens: int) -> Column:
+    """STRUCT(kept, elapsed): ``kept_sentences`` and each row's share of the seconds."""
+
+    @F.arrow_udf("struct<kept:array<array<int>>,elapsed:double>")
+    def rank(chunks: pa.Array) -> pa.Array:
+        started = time.perf_counter()
+        kept = kept_sentences(chunks, max_tokens, min_tokens)
+        each = (time.perf_counter() - started) / max(len(chunks), 1)
+        return pa.StructArray.from_arrays(
+            [kept, pa.array(np.full(len(chunks), each))], fields=list(PICKS)
+        )
+
+    return rank.asNondeterministic()(words)
 
 
 def extractive_arrays(
@@ -67,35 +80,32 @@ def extractive_arrays(
     keys: Sequence[str] = ("doc_id",),
     max_tokens: int = 150,
     min_tokens: int = 30,
-    params: Params = Params(),
-    spread: bool = True,
 ) -> DataFrame:
-    """``keys, chunks, partials``: a summary for every chunk of every row.
+    """``keys, chunks, partials, elapsed``: a summary for every chunk of every row.
 
     A sentence scores the mean in-chunk frequency of its words. Sentences are
     kept in order of score (ties: position) while the running word count stays
     within ``max_tokens`` or is still below ``min_tokens``, and come out in their
-    original order.
-
-    ``base`` has unique ``keys`` and a ``chunks`` array. It is shuffled once by
-    ``keys``; pass ``spread=False`` when it already is partitioned (bucketed) so.
+    original order. The input has no limit. Row by row: no shuffle, sort or join;
+    ``keys`` are any columns to hand through.
     """
-    base = base.select(*keys, "chunks")
-    if spread:
-        base = base.repartition(*keys)
-    limit = params.model_input_tokens - params.n_special
-    seen = base.withColumn("chunks", F.transform("chunks", lambda c: X.first_units(c, limit)))
-    picks = _picked(seen, keys, max_tokens, min_tokens)
-
-    def partial(chunk: Column, pick: Column) -> Column:
-        chosen = X.let(
-            X.sentences(X.first_units(chunk, limit)),
-            lambda s: F.array_join(F.transform(pick["kept"], lambda i: F.get(s, i)), " "),
-        )
+    texts = F.transform("chunks", lambda c: X.sentences(F.coalesce(c, F.lit(""))))
+    words = F.transform("_sentences", lambda s: F.transform(s, X.word_tokens))
+
+    def partial(sentences: Column, kept: Column) -> Column:
+        chosen = F.array_join(F.transform(kept, lambda i: F.get(sentences, i)), " ")
         return X.let(chosen, lambda t: X.first_units(t, max_tokens))
 
-    return base.join(picks, list(keys)).select(
-        *keys, "chunks", F.zip_with("chunks", "picks", partial).alias("partials")
+    return (
+        base.select(*keys, "chunks")
+        .withColumn("_sentences", texts)
+        .withColumn("_picks", ranking(words, max_tokens, min_tokens))
+        .select(
+            *keys,
+            "chunks",
+            F.zip_with("_sentences", "_picks.kept", partial).alias("partials"),
+            F.col("_picks.elapsed").alias("elapsed"),
+        )
     )
 
 
@@ -105,23 +115,17 @@ def summarize_chunks(
     chunk: str = "chunk",
     max_tokens: int = 150,
     min_tokens: int = 30,
-    params: Params = Params(),
-    spread: bool = True,
 ) -> DataFrame:
-    """``keys, chunk, summary, model_name, error, elapsed`` for a table of chunks.
-
-    Chunks are spread by all keys, so the chunks of one huge document do not
-    end up in one task.
-    """
+    """``keys, chunk, summary, model_name, error, elapsed`` for a table of chunks."""
     base = chunks.select(*keys, F.array(chunk).alias("chunks"))
-    done = extractive_arrays(base, keys, max_tokens, min_tokens, params, spread)
+    done = extractive_arrays(base, keys, max_tokens, min_tokens)
     return done.select(
         *keys,
         F.get("chunks", F.lit(0)).alias("chunk"),
         F.get("partials", F.lit(0)).alias("summary"),
         F.lit(EXTRACTIVE).alias("model_name"),
         F.lit(None).cast("string").alias("error"),
-        F.lit(None).cast("double").alias("elapsed"),
+        "elapsed",
     )
 
 
@@ -145,44 +149,86 @@ def run_model(model: Model, texts: list[str]) -> list[tuple]:
     return [row for t in texts for row in run_model(model, [t])]
 
 
+#: The model of this process, by the call it belongs to: one at a time.
+LOADED: dict[str, Model | str] = {}
+
+
+def loaded(call: str, load: Callable[..., Model], limits: dict[str, int]) -> Model | str:
+    """The model of a call, loaded once per process; its error text if that fails."""
+    if call not in LOADED:
+        LOADED.clear()
+        try:
+            LOADED[call] = load(**limits)
+        except Exception as exc:  # noqa: BLE001 - any error becomes a row value
+            LOADED[call] = f"{P.MSG_MODEL_FAILED} {type(exc).__name__}: {exc}"
+    return LOADED[call]
+
+
+def accepted(load: Callable[..., Model], limits: dict[str, int]) -> dict[str, int]:
+    """Those of the limits that ``load`` takes as keywords."""
+    known = inspect.signature(load).parameters.values()
+    if any(p.kind is p.VAR_KEYWORD for p in known):
+        return limits
+    return {k: v for k, v in limits.items() if k in {p.name for p in known}}
+
+
 def map_summarizer(
     chunks: DataFrame,
-    load: Callable[[], Model],
+    load: Callable[..., Model],
     model_name: str,
     keys: Sequence[str] = ("doc_id", "chunk_no"),
     chunk: str = "chunk",
     batch_size: int = 32,
     tasks: int | None = None,
-    prepare: Callable[[Column], Column] | None = None,
+    params: Params = Params(),
+    carry: Sequence[str] = (),
+    max_tokens: int | None = None,
+    min_tokens: int | None = None,
 ) -> DataFrame:
     """Summaries from a user's model: ``load()`` gives ``list[str] -> list[str]``.
 
-    The model is loaded once per task and sees batches of ``batch_size`` texts.
-    Errors become the ``error`` of their chunk. ``tasks`` scales this stage apart
-    from the rest; ``prepare`` cuts the input to the model's limit.
+    The model is loaded once per worker process and sees batches of ``batch_size``
+    texts, cut to ``params.model_input_tokens`` (``truncated`` tells). If ``load`` has
+    parameters ``max_tokens`` and ``min_tokens``, it gets the limits of a summary.
+    Errors, of loading too, become the ``error`` of their chunk; empty texts are
+    refused before the model. ``tasks`` scales this stage apart from the rest;
+    ``carry`` names columns to hand through.
     """
+    limits = {
+        "max_tokens": params.max_summary_tokens if max_tokens is None else max_tokens,
+        "min_tokens": params.min_summary_tokens if min_tokens is None else min_tokens,
+    }
+    limits, call = accepted(load, limits), uuid.uuid4().hex
 
     @F.arrow_udf("struct<summary:string,error:string,elapsed:double>")
     def summarize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load()
         for batch in batches:
             texts = batch.to_pylist()
-            rows: list[tuple] = []
-            for i in range(0, len(texts), batch_size):
-                rows += run_model(model, texts[i : i + batch_size])
+            model = loaded(call, load, limits)
+            rows: list[tuple] = [(None, P.MSG_EMPTY_REQUEST, 0.0)] * len(texts)
+            given = [i for i, t in enumerate(texts) if t]
+            for k in range(0, len(given), batch_size):
+                part = given[k : k + batch_size]
+                if isinstance(model, str):
+                    done = [(None, model, 0.0)] * len(part)
+                else:
+                    done = run_model(model, [texts[i] for i in part])
+                for i, row in zip(part, done):
+                    rows[i] = row
             names = [f.name for f in RESULT]
             yield pa.array([dict(zip(names, r)) for r in rows], RESULT)
 
-    rows = chunks.select(*keys, F.col(chunk).alias("chunk"))
+    rows = chunks.select(*keys, *carry, F.col(chunk).alias("chunk"))
     rows = rows.repartition(tasks, *keys) if tasks else rows.repartition(*keys)
-    prepare = prepare or (lambda text: X.truncate_units(text)["text"])
-    return rows.withColumn(
-        "_result", summarize.asNondeterministic()(prepare(F.col("chunk")))
-    ).select(
+    cut = X.truncate_units(F.col("chunk"), params.model_input_tokens, params.n_special)
+    result = summarize.asNondeterministic()(F.col("_cut.text"))
+    return rows.withColumn("_cut", cut).withColumn("_result", result).select(
         *keys,
+        *carry,
         "chunk",
         "_result.summary",
         F.when(F.col("_result.error").isNull(), F.lit(model_name)).alias("model_name"),
         "_result.error",
         "_result.elapsed",
+        "_cut.truncated",
     )

@@ -93,8 +93,11 @@ def classify_pages(
     text: str = "text",
     filename: str | None = None,
 ) -> DataFrame:
-    """Outcomes of documents given as page rows (already extracted files)."""
-    docs = PG.assemble_pages(pages, doc, page_no, text, params.max_pages)
+    """Outcomes of documents given as page rows (already extracted files).
+
+    A document above the page limit keeps its counts; its text is withheld.
+    """
+    docs = PG.assemble_pages(pages, doc, page_no, text)
     reason = V.document_reason(
         F.lit(False), F.col("has_text"), F.col("num_pages"), params
     )

@@ -30,14 +30,13 @@ def summarise_documents(
     keys: Sequence[str] = ("doc_id",),
     params: Params = Params(),
     counter: TokenCounter | None = None,
-    spread: bool = True,
 ) -> DataFrame:
-    """Result records with the extractive default: one shuffle, by document."""
+    """Result records with the extractive default, row by row: no shuffle."""
     arrays = C.chunk_arrays(
         clean_documents(docs, keys), keys, "text", params.max_tokens, params.overlap_tokens, counter
     )
     done = S.extractive_arrays(
-        arrays, keys, params.max_summary_tokens, params.min_summary_tokens, params, spread
+        arrays, keys, params.max_summary_tokens, params.min_summary_tokens
     )
     return M.document_record(M.merge_arrays(done, keys, S.EXTRACTIVE), keys)
 
@@ -56,6 +55,6 @@ def summarise_with_model(
         clean_documents(docs, keys), keys, "text", params.max_tokens, params.overlap_tokens, counter
     )
     results = S.map_summarizer(
-        chunks, load, params.model_name, [*keys, "chunk_no"], "chunk", batch_size, tasks
+        chunks, load, params.model_name, [*keys, "chunk_no"], "chunk", batch_size, tasks, params
     )
     return M.document_record(M.merge_summaries(results, keys), keys)

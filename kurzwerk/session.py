@@ -55,6 +55,12 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/kurzwerk/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove_work(spark: SparkSession, place: str) -> None:
+    """Delete a folder made by ``work_dir``, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scale_settings(input_bytes: int, partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
     """Session settings for a corpus of a given size.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 def write_report(report: DataFrame, path: str) -> None:
     """The one-row report as JSON, UTF-8 as it is."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_detail(detail: DataFrame, path: str) -> None:

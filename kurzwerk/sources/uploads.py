@@ -20,32 +20,50 @@ def read_files(
     params: Params = Params(),
     manifest: DataFrame | None = None,
 ) -> DataFrame:
-    """``filename, size, content`` of every file below a folder.
+    """``path, filename, size, content`` of every file below a folder.
 
-    The size filter reaches the scan, so the bytes of oversize files are never
-    read; they stay as rows without content. Spark's file scans pass over files of
-    zero bytes; a ``manifest`` of the folder (``filename, size``) brings these in.
+    Only files with the allowed ending are scanned for content, and the size filter
+    reaches that scan, so the bytes of other and of oversize files are never read;
+    they are rows without content. Files of zero bytes, over which Spark's scans pass,
+    come from the folder's listing, or from a ``manifest`` (``path, size``).
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
+    ending = params.allowed_extension
+    glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    loaded = (
+        reader.option("pathGlobFilter", glob)
         .load(path)
-        .select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
+        .filter(F.col("length") <= params.max_file_size)
+        .select("path", F.col("length").alias("size"), "content")
     )
-    fits = F.col("length") <= params.max_file_size
-    loaded = files.filter(fits).select("filename", F.col("length").alias("size"), "content")
-    skipped = files.filter(~fits).select(
-        "filename", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content")
+    # Without the content column the scan lists files and opens none.
+    suffix = F.lower(F.right("path", F.lit(len(ending)))) == ending.lower()
+    others = (
+        reader.option("pathGlobFilter", "*")
+        .load(path)
+        .filter(~suffix | (F.col("length") > params.max_file_size))
+        .select("path", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content"))
     )
-    if manifest is not None:
-        loaded = loaded.unionByName(
-            manifest.filter("size = 0").select(
-                "filename",
-                F.lit(0).cast("bigint").alias("size"),
-                F.lit("").cast("binary").alias("content"),
-            )
-        )
-    return loaded.unionByName(skipped)
+    if manifest is None:
+        manifest = spark.createDataFrame(empty_files(spark, path), "path string, size bigint")
+    empty = manifest.filter("size = 0").select(
+        "path", F.col("size").cast("bigint"), F.lit("").cast("binary").alias("content")
+    )
+    name = F.element_at(F.split("path", "/"), -1)
+    every = loaded.unionByName(others).unionByName(empty)
+    return every.select("path", name.alias("filename"), "size", "content")
+
+
+def empty_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Paths of the files of zero bytes below a folder, by listing it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while files.hasNext():
+        file = files.next()
+        if file.getLen() == 0:
+            found.append((file.getPath().toString(), 0))
+    return found
 
 
 def plain_text_pages(separator: str = "\f") -> Extractor:
