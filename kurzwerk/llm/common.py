@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from kurzwerk.session import ship_package, work_dir
+from kurzwerk.session import remove_work, ship_package, work_dir
 
 #: Bytes of text that one vectorised step handles; a longer text is one step of its own.
 SLICE_BYTES = 2 << 20
@@ -25,7 +25,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder, which cuts its lineage."""
     place = work_dir(df.sparkSession, purpose)
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    out = df.sparkSession.read.schema(df.schema).parquet(place)
+    out.stored_at = place
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        remove_work(table.sparkSession, table.stored_at)
 
 
 def map_batches(

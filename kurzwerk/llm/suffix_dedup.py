@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kurzwerk.llm.common import Rolling, map_batches, mix, slices, stored
+from kurzwerk.llm.common import Rolling, dropped, map_batches, mix, slices, stored
 
 LENGTH = 400
 SAMPLE_BYTES = 64
@@ -103,7 +103,11 @@ def samples_of(data: np.ndarray, offsets: np.ndarray, length: int):
     return row, place - offsets[row], low, high, strings[place], *names
 
 
-SAMPLE_SCHEMA = "digest binary, place bigint, low int, high int, inner bigint, u1 bigint, u2 bigint"
+SAMPLE_SCHEMA = (
+    "digest binary, place bigint, low int, high int, weight int, inner bigint, u1 bigint,"
+    " u2 bigint"
+)
+NAMES_OF_COLUMNS = [c.split()[0] for c in SAMPLE_SCHEMA.split(",")]
 
 
 def sample_batch(digests: pa.Array, texts: pa.Array, length: int) -> pa.RecordBatch:
@@ -117,14 +121,14 @@ def sample_batch(digests: pa.Array, texts: pa.Array, length: int) -> pa.RecordBa
                 held.append(new)
     row, place, low, high, *names = (np.concatenate(c) for c in columns)
     arrays = [pc.take(digests, pa.array(row)), pa.array(place)]
-    arrays += [pa.array(c.astype(np.int32)) for c in (low, high)]
+    arrays += [pa.array(c.astype(np.int32)) for c in (low, high, np.ones(len(row)))]
     arrays += [pa.array(c.view(np.int64)) for c in names]
-    return pa.RecordBatch.from_arrays(arrays, ["digest", "place", "low", "high", "inner", "u1", "u2"])
+    return pa.RecordBatch.from_arrays(arrays, NAMES_OF_COLUMNS)
 
 
 def finer_batch(batch: pa.RecordBatch, step: int, length: int) -> pa.RecordBatch:
     """The nodes of every text in ``batch`` cut into steps, with their names."""
-    out: list[list[np.ndarray]] = [[] for _ in range(7)]
+    out: list[list[np.ndarray]] = [[] for _ in range(8)]
     nodes = batch.column("nodes")
     texts = batch.column("text")
     for r in range(batch.num_rows):
@@ -154,14 +158,15 @@ def finer_batch(batch: pa.RecordBatch, step: int, length: int) -> pa.RecordBatch
                 keys[k, part] = salted(name, step, first[part], last[part])
             name = NAMES[0].between(prefix[0], inner_begin[part] - origin, inner_end[part] - origin)
             keys[2, part] = salted(name, step + 512, block[part], block[part])
-        columns = [np.full(len(p), r), p, first, last, keys[2], keys[0], keys[1]]
+        weight = held.field("weight").to_numpy()[node]
+        columns = [np.full(len(p), r), p, first, last, weight, keys[2], keys[0], keys[1]]
         for have, new in zip(out, columns):
             have.append(new)
-    row, place, low, high, *names = (np.concatenate(c) for c in out)
+    row, place, low, high, weight, *names = (np.concatenate(c) for c in out)
     arrays = [pc.take(batch.column("digest"), pa.array(row)), pa.array(place)]
-    arrays += [pa.array(c.astype(np.int32)) for c in (low, high)]
+    arrays += [pa.array(c.astype(np.int32)) for c in (low, high, weight)]
     arrays += [pa.array(c.view(np.int64)) for c in names]
-    return pa.RecordBatch.from_arrays(arrays, ["digest", "place", "low", "high", "inner", "u1", "u2"])
+    return pa.RecordBatch.from_arrays(arrays, NAMES_OF_COLUMNS)
 
 
 def joined_to_texts(texts: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
@@ -170,22 +175,33 @@ def joined_to_texts(texts: DataFrame, lists: DataFrame, entries: int, how: str)
     return texts.join(side, "digest", how)
 
 
-def settle(nodes: DataFrame, finest: bool) -> tuple[DataFrame, DataFrame | None]:
+def settle(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repeated nodes, nodes to be cut finer) of a stored level.
 
-    A node is repeated if its whole name occurs twice. Nodes go on where an inner string
-    that occurs twice has a node that is not repeated: all nodes of that string do.
+    A node is repeated if its whole name weighs two or more. Nodes go on where an inner
+    string has a node that is not repeated and weighs two or more: those nodes, and of
+    the repeated ones one for each name, with the weight of two.
     """
-    twice = nodes.groupBy("u1", "u2").count().filter("count > 1").select("u1", "u2", F.lit(True).alias("done"))
-    if finest:
-        return nodes.join(twice, ["u1", "u2"], "left_semi"), None
-    told = nodes.join(twice, ["u1", "u2"], "left").select(
-        "digest", "place", "low", "high", "inner", F.coalesce("done", F.lit(False)).alias("done")
+    place = F.struct("digest", "place")
+    name = nodes.groupBy("u1", "u2").agg(F.sum("weight").alias("n"), F.min(place).alias("first"))
+    told = nodes.join(name.filter("n > 1"), ["u1", "u2"], "left")
+    told = stored(
+        told.select(
+            "digest",
+            "place",
+            "low",
+            "high",
+            "weight",
+            "inner",
+            F.col("n").isNotNull().alias("done"),
+            (F.col("n").isNull() | (place == F.col("first"))).alias("stays"),
+        ),
+        "settled",
     )
-    told = stored(told, "settled")
-    on = told.groupBy("inner").agg(F.count("*").alias("n"), F.min("done").alias("all_done"))
+    stays = told.filter("stays").withColumn("weight", F.when(F.col("done"), 2).otherwise(1))
+    on = stays.groupBy("inner").agg(F.sum("weight").alias("n"), F.min("done").alias("all_done"))
     on = on.filter("n > 1 and not all_done").select("inner")
-    return told.filter("done"), told.join(on, "inner", "left_semi")
+    return told.filter("done and weight = 1"), stays.join(on, "inner", "left_semi")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -208,14 +224,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def first_level(batch: pa.RecordBatch) -> pa.RecordBatch:
         return sample_batch(batch.column("digest"), batch.column("text"), length)
 
-    nodes = stored(map_batches(long_enough, first_level, SAMPLE_SCHEMA), "samples")
-    again = nodes.groupBy("inner").count().filter("count > 1").select("inner")
-    nodes = stored(nodes.join(again, "inner", "left_semi").select(nodes.columns), "repeated-samples")
+    samples = stored(map_batches(long_enough, first_level, SAMPLE_SCHEMA), "samples")
+    again = samples.groupBy("inner").count().filter("count > 1").select("inner")
+    nodes = stored(samples.join(again, "inner", "left_semi").select(samples.columns), "level")
+    dropped(samples)
     found = []
-    for step in STEPS:
-        done, rest = settle(nodes, finest=False)
+    for step in (*STEPS, None):
+        done, rest = settle(nodes)
         found.append(done)
-        lists = rest.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("place", "low", "high"))).alias("nodes"))
+        dropped(nodes)
+        if step is None:
+            break
+        node = F.struct("place", "low", "high", "weight")
+        lists = rest.groupBy("digest").agg(F.sort_array(F.collect_set(node)).alias("nodes"))
         lists = stored(lists, "nodes")
         entries = lists.agg(F.sum(F.size("nodes"))).first()[0] or 0
         if not entries:
@@ -224,10 +245,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def finer(batch: pa.RecordBatch, step: int = step) -> pa.RecordBatch:
             return finer_batch(batch, step, length)
 
-        level = map_batches(joined_to_texts(long_enough, lists, entries, "inner"), finer, SAMPLE_SCHEMA)
-        nodes = stored(level, f"level-{step}")
-    else:
-        found.append(settle(nodes, finest=True)[0])
+        joined = joined_to_texts(long_enough, lists, entries, "inner")
+        nodes = stored(map_batches(joined, finer, SAMPLE_SCHEMA), f"level-{step}")
+        dropped(lists)
     spans = None
     for part in found:
         part = part.select(
