@@ -2,40 +2,45 @@
 
 import re
 from collections import Counter
-from itertools import takewhile
 
 
-def model_chunks(text, limit, overlap):
-    """Chunks in terms of blank-separated units, as a fold over a tuple of sentences."""
-
-    def size(s):
-        return len([u for u in s.split(" ") if u])
-
-    def tail(buffer):
-        reached, kept = 0, []
-        for s in takewhile(lambda _: True, reversed(buffer)):
-            reached += size(s)
-            if reached > overlap:
-                return tuple(reversed(kept))
-            kept.append(s)
-        return tuple(reversed(kept))
-
-    if size(text) <= limit:
-        return [text]
-    out, buffer = [], ()
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        n = size(sentence)
-        if buffer and sum(map(size, buffer)) + n > limit:
-            out.append(" ".join(buffer))
-            buffer = tail(buffer)
-        if n > limit:
-            u = [w for w in sentence.split(" ") if w]
-            out.extend(" ".join(u[i : i + limit]) for i in range(0, n, limit))
-        else:
-            buffer += (sentence,)
-    if buffer:
-        out.append(" ".join(buffer))
-    return [c.strip() for c in out if c.strip()]
+def check_slices(counts, slices, limit, overlap):
+    """What the slices of a sentence list must be, stated one property at a time."""
+    fits = [k for k, n in enumerate(counts) if n <= limit]
+    total = lambda ks: sum(counts[k] for k in ks)
+    soft = [(a, b) for a, b, hard in slices if not hard]
+    held = [[k for k in fits if a <= k < b] for a, b in soft]
+    # Long sentences are slices of their own, each once and in order.
+    hard = [(a, b) for a, b, h in slices if h]
+    assert hard == [(k, k + 1) for k in range(len(counts)) if counts[k] > limit]
+    # A slice stands behind everything that was complete before it was closed.
+    places = [a + 0.5 if h else b for a, b, h in slices]
+    assert places == sorted(places)
+    # No sentence is lost, no slice is empty, and each brings something new unless it
+    # only repeats an overlap behind a long sentence.
+    assert sorted({k for ks in held for k in ks}) == fits
+    assert all(held)
+    for (_, b), ks, after in zip(soft, held, [*held[1:], None]):
+        if after is None:
+            assert ks[-1] == fits[-1]
+            continue
+        # Closed because the sentence at b no longer fitted.
+        assert total(ks) + counts[b] > limit
+        # The overlap is the longest tail within its bound.
+        tail = [k for k in after if k < b]
+        assert tail == (ks[len(ks) - len(tail):]) and total(tail) <= overlap
+        assert len(tail) == len(ks) or total(ks[len(ks) - len(tail) - 1 :]) > overlap
+    # Not closed earlier: every new sentence fitted when it came.
+    for i, ks in enumerate(held):
+        seen = soft[i - 1][1] if i else 0
+        for j, k in enumerate(ks):
+            if k > seen and j:
+                assert total(ks[:j]) + counts[k] <= limit
+    # A long sentence closes what stands before it.
+    for k in range(len(counts)):
+        before = [ks for (a, b), ks in zip(soft, held) if a <= k < b and ks[0] < k]
+        if counts[k] > limit and before:
+            assert k in [b for _, b in soft]
 
 
 def words(text):
@@ -43,16 +48,14 @@ def words(text):
 
 
 def model_covered(source, summary):
-    """Covered words by greedy longest runs, as the measure is defined."""
+    """Covered words: those inside of any run of words that the source holds.
+
+    A table over all (start, end) pairs tells which runs are held.
+    """
     joined, tokens = " ".join(words(source)), words(summary)
-    i = covered = 0
-    while i < len(tokens):
-        run = 0
-        while i + run < len(tokens) and " ".join(tokens[i : i + run + 1]) in joined:
-            run += 1
-        covered += run
-        i += max(run, 1)
-    return covered, len(tokens)
+    n = len(tokens)
+    held = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if " ".join(tokens[i:j]) in joined]
+    return len({k for i, j in held for k in range(i, j)}), n
 
 
 def model_summary(chunk, most, least):

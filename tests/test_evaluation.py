@@ -5,6 +5,7 @@ import random
 
 import golden
 import numpy as np
+import pytest
 from models import model_lcs, model_rouge
 from pyspark.sql import functions as F
 
@@ -12,18 +13,13 @@ from kurzwerk.functions.lcs import lcs_length
 from kurzwerk.functions.stem import stem
 from kurzwerk.operators import evaluation as E
 from kurzwerk.operators import rouge as R
+from kurzwerk.params import Params
 from kurzwerk.plans import evaluate as PE
 from kurzwerk.sources import corpus, reports
 
 
 def golden_detail(spark):
-    rows = [
-        (i, *r[:4], r[5] / r[4], r[4], r[5])
-        for i, r in enumerate(
-            zip(golden.ROUGE_1, golden.ROUGE_2, golden.ROUGE_L, golden.SECONDS,
-                golden.ARTICLE_CHARACTERS, golden.SUMMARY_CHARACTERS)
-        )
-    ]
+    rows = [(i, *r) for i, r in enumerate(golden.DETAIL)]
     kinds = ["double"] * 5 + ["long"] * 2
     return spark.createDataFrame(rows, "example_id int, " + ", ".join(f"{n} {k}" for n, k in zip(E.DETAIL, kinds)))
 
@@ -111,22 +107,68 @@ def test_stems():
     assert {w: stem(w) for w in pairs} == pairs
 
 
-def test_evaluate_with_a_model(spark, tmp_path):
+def example_rows(spark):
     rows = [(i, f"The cat number {i} sat. It ran away quickly. " * 3, "The cat sat.") for i in range(12)] + [(99, "", "x")]
-    df = spark.createDataFrame(rows, "example_id int, article string, reference string")
+    return spark.createDataFrame(rows, "example_id int, article string, reference string")
 
-    def load():
-        return lambda texts: [t[:12] for t in texts]
 
-    report = PE.evaluate(df, str(tmp_path / "r"), num_samples=5, load=load, model_name="m").first()
-    assert (report.num_samples, report.model_name) == (5, "m")
+def test_evaluate_with_a_model(spark, tmp_path):
+    df = example_rows(spark)
+
+    def load(max_tokens):
+        return lambda texts: [t[: max_tokens // 15] for t in texts]
+
+    report = PE.evaluate(df, "cats", str(tmp_path / "r"), num_samples=5, load=load, model_name="m").first()
+    assert (report.num_samples, report.n_failed, report.model_name, report.dataset) == (5, 0, "m", "cats")
     assert 0 < report.rouge1_f_mean <= 1 and report.processing_time_seconds_p95 is not None
     detail = {r.example_id: r for r in PE.detail_of(df).collect()}
     assert len(detail) == 13 and detail[99].compression_rate == 0.0
 
 
+def test_the_default_is_named_timed_and_leaves_no_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(PE, "work_dir", lambda spark, purpose: str(tmp_path / purpose))
+    report = PE.evaluate(example_rows(spark), "cats", str(tmp_path / "r")).first()
+    assert (report.model_name, report.num_samples) == ("extractive-tf", 13)
+    (file,) = glob.glob(str(tmp_path / "r.json" / "part-*"))
+    written = json.loads(open(file, encoding="utf-8").read())
+    assert set(golden.REPORT) < set(written) and written["processing_time_seconds_mean"] is not None
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["r.csv", "r.json"]
+
+
+def test_failed_examples_are_never_scored_as_zero(spark):
+    df = example_rows(spark).filter("example_id < 10")
+
+    def load():
+        def model(texts):
+            if any("number 3" in t or "number 4" in t for t in texts):
+                raise ValueError("no")
+            return ["The cat sat." for _ in texts]
+
+        return model
+
+    with pytest.raises(PE.ExamplesFailed, match="2 of 10 .*ValueError: no"):
+        PE.evaluate(df, "cats", load=load)
+    report = PE.evaluate(df, "cats", load=load, allow_failed=True).first()
+    assert (report.num_samples, report.n_failed, report.rouge1_f_mean) == (8, 2, 1.0)
+
+
+def test_articles_are_read_whole_unless_asked(spark):
+    text = "one two. " * 1000 + "three"
+    df = spark.createDataFrame([(1, text, "three")], "example_id int, article string, reference string")
+
+    def load():
+        return lambda texts: [t[-5:] for t in texts]
+
+    wide = Params(model_input_tokens=10_000)
+    assert PE.examples_of(df, params=wide, load=load).first().generated == "three"
+    cut = Params(model_input_tokens=10_000, eval_article_chars=4000)
+    assert PE.examples_of(df, params=cut, load=load).first().generated == text[3995:4000]
+
+
 def test_sample_is_the_first_rows_by_key(spark):
-    df = spark.range(1000).orderBy(F.desc("id"))
+    df = spark.range(1000).orderBy(F.desc("id")).withColumn("text", F.lit("x"))
     top = corpus.sample(df, "id", 5)
-    assert [r.id for r in top.collect()] == [0, 1, 2, 3, 4]
-    assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in top.collect()) == [0, 1, 2, 3, 4]
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    line = next(x for x in plan.splitlines() if "TakeOrderedAndProject" in x)
+    assert "text" not in line

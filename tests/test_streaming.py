@@ -30,14 +30,26 @@ def test_each_upload_is_taken_once_over_restarts(spark, tmp_path):
     }
 
 
-def test_page_rows_are_assembled_per_batch(spark, tmp_path):
+def test_pages_that_come_over_time_make_one_document(spark, tmp_path):
     schema = "doc_id long, page_no int, text string"
-    for rows in ([(1, 2, "b"), (1, 1, "a"), (2, 1, None)], [(3, 1, "x"), (3, 2, "y"), (3, 3, "z")]):
+    arrivals = [
+        [(1, 2, "b"), (2, 1, None), (3, 1, "x")],
+        [(1, 1, "a"), (3, 2, "y")],
+        [(3, 3, "z"), (4, 1, "neu")],
+    ]
+    want = [
+        {1: (None, "b"), 2: ("no_text", None), 3: (None, "x")},
+        {1: (None, "a b"), 2: ("no_text", None), 3: (None, "x y")},
+        {1: (None, "a b"), 2: ("no_text", None), 3: ("page_cap", None), 4: (None, "neu")},
+    ]
+    for rows, outcome in zip(arrivals, want):
+        # Every round is a restart of the stream.
         batch = spark.createDataFrame(rows, schema)
         batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = SI.read_stream(spark, str(tmp_path / "in"), batch.schema)
+        stream = SI.read_stream(spark, str(tmp_path / "in"), batch.schema, files_per_batch=1)
         SI.start_page_intake(
-            stream, str(tmp_path / "out"), str(tmp_path / "state"), Params(max_pages=2)
+            stream, str(tmp_path / "out"), str(tmp_path / "state"), Params(max_pages=2), buckets=2
         ).awaitTermination()
-    got = {r.doc_id: (r.reason, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: (None, "a b"), 2: ("no_text", None), 3: ("page_cap", None)}
+        got = SI.read_page_outcomes(spark, str(tmp_path / "out")).collect()
+        assert {r.doc_id: (r.reason, r.text) for r in got} == outcome
+        assert len(got) == len(outcome)

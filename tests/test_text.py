@@ -14,8 +14,8 @@ def column(spark, values, *functions, type_="string"):
 
 def test_clean_text_literals(spark):
     raw = [
-        "Die Patent-\nanmeldung wurde eingereicht.",
-        "Zeile eins\n\nZeile   zwei\r\nZeile drei",
+        "Der Wasser-\nstand fiel über Nacht.",
+        "oben\n\nmitte   links\r\nunten",
         "Nord-\nSüd",
         "ge-\r\nteilt",
         "a\tb",
@@ -24,8 +24,8 @@ def test_clean_text_literals(spark):
         "über-\nöffnen",
     ]
     assert column(spark, raw, X.clean_text) == [
-        "Die Patentanmeldung wurde eingereicht.",
-        "Zeile eins Zeile zwei Zeile drei",
+        "Der Wasserstand fiel über Nacht.",
+        "oben mitte links unten",
         "Nord- Süd",
         "ge- teilt",
         "a\tb",
