@@ -49,11 +49,14 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(
+    texts: pa.Array, size: int | None = None
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, next row, bytes, row offsets) of runs of rows of bounded size.
 
     A null is an empty text.
     """
+    size = size or SLICE_BYTES
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     large = texts.cast(pa.large_string()) if pa.types.is_string(texts.type) else texts
@@ -63,7 +66,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         yield (
             first,

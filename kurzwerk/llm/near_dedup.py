@@ -164,7 +164,7 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         darts = DARTS.setdefault(bands * rows, Darts(bands * rows))
         keys, held, marks = [], [], []
-        for _, _, data, offsets in slices(batch.column("text")):
+        for _, _, data, offsets in slices(batch.column("text"), 1 << 20):
             units, at = SHINGLER.units(data, offsets)
             some = np.diff(at) > 0
             held.append(some)
