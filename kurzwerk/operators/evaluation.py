@@ -58,15 +58,17 @@ def evaluation_detail(
 
 
 def exact_quantile(
-    values: DataFrame, column: str, q: float, passes: int = 3, buckets: int = 65536
+    values: DataFrame, column: str, q: float, buckets: int = 65536
 ) -> float | None:
     """The exact, linearly interpolated quantile of a column; nulls are ignored.
 
     Each pass counts the values between two bounds in equal-width buckets (on the
     map side first, so at most ``buckets`` rows meet) and brings one row to the
-    driver: narrower bounds around the two wanted ranks. Only the distinct values
-    left between them are put in order. The column is read once per pass, so give
-    a written table rather than a long plan.
+    driver: the buckets of the two wanted ranks. If they differ, the ranks are the
+    largest value of the one and the smallest of the other; if not, the next pass
+    looks between that bucket's extremes. The least and the greatest value never
+    share a bucket, so every pass leaves fewer values. The column is read once per
+    pass: give a written table rather than a long plan.
     """
     x = F.col("x")
     values = values.select(F.col(column).cast("double").alias("x")).filter(x.isNotNull())
@@ -74,36 +76,23 @@ def exact_quantile(
     if n == 0:
         return None
     lower_rank, upper_rank = math.floor(q * (n - 1)), math.ceil(q * (n - 1))
-    below, between = 0, n
+    below = 0
     running = F.sum("here").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-
-    def around(place: Column) -> tuple:
-        """Bounds of the wanted ranks, rows before them and between them."""
-        seen = F.col("seen") + below
-        return (
+    bucket = F.struct("place", "least", "most", "here", "seen")
+    while low < high:
+        step = F.least(F.floor((x - low) / (high - low) * buckets), F.lit(buckets - 1))
+        lower, upper = (
             values.filter(x.between(low, high))
-            .groupBy(place.alias("place"))
+            .groupBy(step.alias("place"))
             .agg(F.count("*").alias("here"), F.min("x").alias("least"), F.max("x").alias("most"))
-            .withColumn("seen", running)
-            .agg(
-                F.min(F.when(seen > lower_rank, F.col("least"))),
-                F.min(F.when(seen > upper_rank, F.col("most"))),
-                F.coalesce(F.sum(F.when(seen <= lower_rank, F.col("here"))), F.lit(0)) + below,
-                F.sum(
-                    F.when(
-                        (seen > lower_rank) & (seen - F.col("here") <= upper_rank), F.col("here")
-                    )
-                ),
-            )
+            .withColumn("seen", running + below)
+            .agg(*[F.min(F.when(F.col("seen") > r, bucket)) for r in (lower_rank, upper_rank)])
             .first()
         )
-
-    for _ in range(passes):
-        if between <= buckets or low == high:
+        if lower.place != upper.place:
+            low, high = lower.most, upper.least
             break
-        step = F.floor((x - low) / (high - low) * buckets)
-        low, high, below, between = around(F.least(step, F.lit(buckets - 1)))
-    low, high, *_ = around(x)
+        low, high, below = lower.least, lower.most, lower.seen - lower.here
     part = q * (n - 1) - lower_rank
     return low + (high - low) * part if part < 0.5 else high - (high - low) * (1 - part)
 

@@ -82,8 +82,12 @@ def rouge_scores(
     sizes = [F.size("_ref").alias("_n_ref"), F.size("_cand").alias("_n_cand")]
     per_gram = (
         tokens.select(key, *carry, "_lcs", *sizes, F.explode_outer(rows).alias("_g"))
-        .groupBy(key, *carry, "_lcs", "_n_ref", "_n_cand", "_g.n", "_g.gram")
-        .agg(F.sum("_g.r").alias("_r"), F.sum("_g.c").alias("_c"))
+        .groupBy(key, "_g.n", "_g.gram")
+        .agg(
+            F.sum("_g.r").alias("_r"),
+            F.sum("_g.c").alias("_c"),
+            *[F.first(c).alias(c) for c in (*carry, "_lcs", "_n_ref", "_n_cand")],
+        )
     )
     aggregates = [F.max(c).cast("bigint").alias(c) for c in ("_lcs", "_n_ref", "_n_cand")]
     names = []
@@ -98,7 +102,8 @@ def rouge_scores(
         ):
             total = F.coalesce(F.sum(F.when(of_n, value)), F.lit(0))
             aggregates.append(total.cast("bigint").alias(f"{name}_{suffix}"))
-    scores = per_gram.groupBy(key, *carry).agg(*aggregates)
+    aggregates += [F.first(c).alias(c) for c in carry]
+    scores = per_gram.groupBy(key).agg(*aggregates)
     if longest:
         names.append("rougeL")
         scores = scores.withColumnsRenamed(

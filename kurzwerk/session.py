@@ -64,13 +64,15 @@ def remove_work(spark: SparkSession, place: str) -> None:
 def scale_settings(input_bytes: int, partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
     """Session settings for a corpus of a given size.
 
-    Enough shuffle partitions that one of them holds about ``partition_bytes`` of
-    text; adaptive execution joins those that turn out small.
+    One shuffle block is written per pair of map task and reducer, so both are bounded:
+    splits grow up to a gigabyte, and there are 200 to 50,000 shuffle partitions;
+    adaptive execution joins those that turn out small.
     """
-    partitions = max(200, -(-input_bytes // partition_bytes))
+    split = min(1 << 30, max(partition_bytes, -(-input_bytes // 100_000)))
+    partitions = min(50_000, max(200, -(-input_bytes // partition_bytes)))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),

@@ -51,6 +51,8 @@ def test_exact_quantile(spark):
         [1.0, 2.0],
         [5.0] * 100,
         [-rng.random() * 10 ** rng.randint(-9, 9) for _ in range(3000)],
+        # Two clusters of many values with a wide gap between the wanted ranks.
+        [rng.random() for _ in range(1000)] + [1e9 + rng.random() for _ in range(1000)],
     ]
     for values in cases:
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
