@@ -25,6 +25,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 5
 #: Up to so many keys are broadcast (24 bytes each); beyond, the join is a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Up to so many labels (two digests each) are broadcast; beyond, the join is a shuffle.
+BROADCAST_LABELS = 1_000_000
 #: Buckets up to this size have all pairs of different components compared. In larger
 #: ones the members outside of the largest component meet ``PIVOTS`` texts of it and
 #: one of the others per round, until a round finds no link.
@@ -234,6 +236,11 @@ def verified(
     return stored(links, f"links-{purpose}")
 
 
+def counted(labels: DataFrame) -> DataFrame:
+    """Stored labels, to be broadcast where their number allows."""
+    return F.broadcast(labels) if fit_for_broadcast(labels, BROADCAST_LABELS) else labels
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links lead to, for nodes with links.
 
@@ -248,14 +255,15 @@ def components(links: DataFrame) -> DataFrame:
         "labels",
     )
     while True:
+        known = counted(labels)
         heard = (
-            both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node"))
+            both.join(known, both.b == known.node).groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("heard"))
         )
-        spread = labels.join(heard, "node").select(
+        spread = heard.join(known, "node").select(
             "node", "label", F.least("label", "heard").alias("next")
         )
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jumped"))
+        jump = counted(labels.select(F.col("node").alias("next"), F.col("label").alias("jumped")))
         step = stored(
             spread.join(jump, "next", "left").select(
                 "node", F.least("next", F.coalesce("jumped", "next")).alias("label"),
@@ -269,6 +277,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    labels = counted(labels)
     joined = members.join(labels, members.digest == labels.node, "left")
     return joined.select("key", "digest", F.coalesce("label", "digest").alias("label"))
 
