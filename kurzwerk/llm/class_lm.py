@@ -29,13 +29,14 @@ class Settings:
     """Sizes of the model; they bound what is broadcast and held, never the counts."""
 
     #: Training words that are items of their own, and types of all other words.
-    item_words: int = 6000
-    types: int = 2048
-    classes: int = 48
+    item_words: int = 4000
+    types: int = 1024
+    classes: int = 40
     #: Passes of the exchange over all items, each after a pass over the corpus.
     sweeps: int = 3
-    #: Most frequent words whose counts go to every task; the others' are joined.
-    near_words: int = 300_000
+    #: So many of the most frequent words, at most, have their counts sent to every task;
+    #: the others' are joined.
+    near_words: int = 200_000
     #: Taken off every count within a type, for its unseen words.
     discount: float = 0.5
     transition_floor: float = 0.5
@@ -126,15 +127,31 @@ class Vocabulary:
         return math.log10((count - d) / tokens if count else max(d * words, d) / tokens)
 
 
+def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """Words and counts from the lowest count that at most ``most`` words reach.
+
+    The count is found from a histogram of some hundred steps, so nothing is sorted.
+    """
+    step = F.floor(F.log2("n") * 8).alias("step")
+    sizes = counts.groupBy(step).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    total, least = 0, None
+    for r in sorted(sizes.collect(), key=lambda r: -r.step):
+        total += r.words
+        if total > most:
+            break
+        least = r.least
+    if least is None:
+        return {}
+    table = counts.filter(F.col("n") >= least).toArrow()
+    return dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
+
+
 def vocabulary_of(counts: DataFrame, settings: Settings) -> Vocabulary:
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     out = Vocabulary(settings, int(size.n or 0), int(size.v))
-    order = F.desc("n"), F.asc("word")
-    frequent = counts.filter(F.octet_length("word") > 0).orderBy(*order).limit(settings.near_words)
-    near = frequent.toPandas()
-    words = [bytes(w) for w in near["word"]]
-    out.near = dict(zip(words, near["n"].astype(int).tolist()))
-    top = words[: settings.item_words]
+    near = frequent_words(counts.filter(F.octet_length("word") > 0), settings.near_words)
+    out.near = near
+    top = sorted(near, key=lambda w: (-near[w], w))[: settings.item_words]
     out.items = {END.encode(): 0} | {w: k for k, w in enumerate(top, 1)}
     out.near[END.encode()] = int(
         counts.filter(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
@@ -259,9 +276,10 @@ def contexts(items: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.
                 )
 
     each = items.select("items").mapInArrow(run, "side int, place int, n bigint")
-    sums = each.groupBy("side", "place").agg(F.sum("n").alias("n")).toPandas()
+    sums = each.groupBy("side", "place").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, n * n_classes))
-    out[sums["side"].to_numpy(int), sums["place"].to_numpy(int)] = sums["n"].to_numpy(float)
+    side, place, total = (sums.column(c).to_numpy() for c in ("side", "place", "n"))
+    out[side, place] = total
     return out[0].reshape(n, n_classes), out[1].reshape(n, n_classes)
 
 
