@@ -29,9 +29,14 @@ BROADCAST_KEYS = 2_000_000
 BROADCAST_LABELS = 1_000_000
 #: Buckets up to this size have all pairs of different components compared. In larger
 #: ones the members outside of the largest component meet ``PIVOTS`` texts of it and
-#: one of the others per round, until a round finds no link.
+#: one of the others per round; an exact join then compares what is still apart.
 SMALL_BUCKET = 50
 PIVOTS = 8
+PIVOT_ROUNDS = 2
+#: Ratio of neighbouring size classes of the exact join.
+SIZE_STEP = 1.02
+#: Holders of a shingle from which the exact join deals them into several parts.
+HOT_UNIT = 1000
 #: Share of equal coordinates below which a pair is not verified: 4.6 standard deviations
 #: under that of a pair of similarity 0.8.
 LEAST_EQUAL = 0.64
@@ -321,6 +326,63 @@ def pivot_pairs(large: DataFrame, number: int) -> DataFrame:
     return met.filter("label <> p.label").select("digest", F.col("p.digest").alias("other"))
 
 
+def exact_pairs(large: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of different components that can be ``similarity`` alike, in large buckets.
+
+    Sets of n and m units that alike share at least o = s / (1 + s) * (n + m), so their
+    n - o + 1 and m - o + 1 rarest units have one in common. Size classes hold m within
+    narrow bounds, which keeps units that all texts of a family share out of the join. A
+    pair has a member outside of its bucket's largest component, and only these ask.
+    """
+    share = similarity / (1 + similarity)
+    parts = large.groupBy("key", "label").agg(F.count("*").alias("c"))
+    most = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("most"))
+    roles = large.join(most, "key").groupBy("digest", "label").agg(F.max(F.col("label") != F.col("most")).alias("rest"))
+    sets = stored(units.join(roles, "digest"), "exact-sets")
+    flat = sets.select("digest", "label", F.explode("units").alias("unit"))
+    known = flat.groupBy("unit").agg(
+        F.count("*").alias("holders"), (F.min("label") != F.max("label")).alias("mixed")
+    )
+    known = stored(known.filter("holders > 1"), "exact-units")
+    if fit_for_broadcast(known, BROADCAST_KEYS):
+        known = F.broadcast(known)
+    told = flat.select("digest", "unit").join(known, "unit", "left")
+    rare = F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "unit", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    ranked = told.groupBy("digest").agg(F.sort_array(F.collect_list(rare)).alias("rare"))
+    n = F.col("n")
+    least = lambda m: F.ceil(F.lit(share) * (n + m) - 1e-6)
+    level = F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+    reach = math.ceil(-math.log(similarity) / math.log(SIZE_STEP)) + 1
+    ranked = ranked.withColumn("n", F.size("rare")).join(sets.select("digest", "label", "rest"), "digest")
+    placed = ranked.select(
+        "digest", "label", "rest", "n", level.alias("level"),
+        F.posexplode(F.slice("rare", 1, (n - least(n * similarity) + 1).cast("int"))).alias("place", "u"),
+    ).filter("u.mixed")
+    # The smallest size of a class, with room for rounding at its edge.
+    lowest = lambda c: F.floor(F.pow(F.lit(SIZE_STEP), c) * (1 - 1e-9))
+    partner = F.filter(
+        F.sequence(F.col("level") - reach, F.col("level") + reach),
+        lambda c: F.col("place") <= n - least(F.greatest(lowest(c), F.floor(n * similarity))),
+    )
+    held = placed.select(
+        "digest", "label", "rest", "n", "level", "place", F.col("u.unit").alias("unit"),
+        F.ceil(F.col("u.holders") / HOT_UNIT).cast("int").alias("parts"), F.explode(partner).alias("other_level"),
+    )
+    held = stored(held, "exact-prefixes")
+    asking = held.filter("rest").withColumn("part", F.pmod(F.xxhash64("digest"), "parts").cast("int"))
+    asked = held.select(
+        F.col("digest").alias("other"), F.col("label").alias("b_label"), F.col("rest").alias("b_rest"),
+        F.col("n").alias("b_n"), F.col("place").alias("b_place"), "unit",
+        F.col("level").alias("other_level"), F.col("other_level").alias("level"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+    )
+    # What is left from the first shared unit on must do for both.
+    left = F.least(n - F.col("place"), F.col("b_n") - F.col("b_place"))
+    fits = (F.col("label") != F.col("b_label")) & (left >= least(F.col("b_n")))
+    fits &= ~F.col("b_rest") | (F.col("digest") < F.col("other"))
+    return asking.join(asked, ["unit", "level", "other_level", "part"]).filter(fits).select("digest", "other")
+
+
 def near_classes(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -333,7 +395,7 @@ def near_classes(
     of ``bands`` bands of ``rows`` signature coordinates and are verified exactly. Equal
     texts are handled once. In a bucket, texts meet one pivot first; then only texts of
     different components meet, all of them in small buckets, a bounded number of pivots
-    per round in larger ones, until a round finds no link.
+    in larger ones, where an exact join finds the links that are left.
 
     Null texts are empty; empty texts are one class. Null ids take part and have no say
     in class_id. Repeated rows give a row each. Other columns are ignored; no rows give
@@ -359,20 +421,24 @@ def near_classes(
     links = verified(pairs, marks, units, similarity, "0")
     labels = components(links)
     members = members.select("key", "digest")
-    number, found = 0, True
-    while found:
-        number += 1
+    for number in range(1, PIVOT_ROUNDS + 1):
         still = open_buckets(members, labels)
         large = still.filter(F.col("n") > SMALL_BUCKET)
         pairs = pivot_pairs(large, number)
         if number == 1:
             pairs = pairs.union(small_pairs(still.filter(F.col("n") <= SMALL_BUCKET)))
         new = verified(ordered(pairs), marks, units, similarity, str(number))
-        found = new.limit(1).count() > 0
-        if found:
-            links = links.union(new)
-            labels = components(links)
-            members = large.select("key", "digest")
+        members = large.select("key", "digest")
+        if new.limit(1).count() == 0:
+            break
+        links = links.union(new)
+        labels = components(links)
+    large = open_buckets(members, labels)
+    if large.limit(1).count():
+        pairs = ordered(exact_pairs(large, units, similarity))
+        new = verified(pairs, marks, units, similarity, "exact")
+        if new.limit(1).count():
+            labels = components(links.union(new))
 
     ids = rows_in.select("doc_id", "digest")
     roots = ids.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select(

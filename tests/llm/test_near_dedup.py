@@ -58,6 +58,40 @@ def test_large_buckets_and_shuffled_keys_give_the_same(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def family(pairs):
+    """Texts of one template, any two 0.776 alike, in pairs that are 0.804 alike."""
+    template = prose(1, 350)
+    texts = []
+    for k in range(pairs):
+        shared = " ".join(f"pair{k}x{i}" for i in range(7))
+        texts += [" ".join([template, shared, *(f"own{k}{s}{i}" for i in range(43))]) for s in "ab"]
+    return texts
+
+
+def test_pairs_within_a_large_family_that_is_not_alike(spark):
+    texts = family(120)
+    assert brute(texts[:8]) == [0, 0, 2, 2, 4, 4, 6, 6]
+    got = {r.doc_id: r.class_id for r in N.near_classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
+def test_exact_pairs_hold_every_pair_that_is_alike(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(N, "HOT_UNIT", 3)
+    texts = [varied(prose(7, 60 + k % 9), k, k % 4) for k in range(50)] + [prose(7, 75), prose(8, 5)]
+    docs = frame(spark, texts).withColumn("digest", F.unhex(F.md5("text")))
+    large = docs.select(F.lit(1).alias("key"), "digest", F.col("digest").alias("label"))
+    ids = {bytes(r.digest): r.doc_id for r in docs.collect()}
+    pairs = N.ordered(N.exact_pairs(large.distinct(), N.unit_sets(docs).dropDuplicates(["digest"]), 0.8)).collect()
+    got = {frozenset((ids[bytes(r.a)], ids[bytes(r.b)])) for r in pairs}
+    sets = {i: shingles(texts[i]) for i in ids.values()}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                assert frozenset((i, j)) in got
+
+
 def test_signatures_agree_as_often_as_the_sets_are_alike():
     r = np.random.default_rng(0)
     darts, same = N.Darts(140), []
