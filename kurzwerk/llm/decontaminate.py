@@ -14,8 +14,9 @@ SIMILARITY = 0.8
 #: is more than five deviations above.
 RADIUS = 25
 BITS = 64
-#: Counters of 16 bits in one long; so many shingles fit one window.
-FIELD_BITS = 16
+#: Bits of the counters that share one long, and the most shingles of a window that fit
+#: the first; a block with a longer item takes the second.
+FIELD_BITS, WIDE_FIELD_BITS = 16, 32
 MOST_SHINGLES = 32_767
 #: Up to so many texts' keys are broadcast; beyond, the join is a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -46,13 +47,16 @@ def with_shingles(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def simhash(rows: DataFrame, keys: list[str], shingle: str) -> DataFrame:
+def simhash(
+    rows: DataFrame, keys: list[str], shingle: str, field_bits: int = FIELD_BITS
+) -> DataFrame:
     """A 64-bit fingerprint per key: the majority of each bit over its shingle rows.
 
-    16 longs hold the counts of four bits each, so the majorities of 64 bits are 16 sums.
+    16 longs hold the counts of four bits each, so the majorities of 64 bits are 16 sums
+    (wide: 32 longs of two counts).
     """
-    lanes = BITS * FIELD_BITS // 64
-    mask = sum(1 << (FIELD_BITS * j) for j in range(64 // FIELD_BITS))
+    lanes = BITS * field_bits // 64
+    mask = sum(1 << (field_bits * j) for j in range(64 // field_bits))
     sums = [
         F.sum(F.shiftrightunsigned(F.col(shingle), k).bitwiseAND(F.lit(mask))).alias(f"_s{k}")
         for k in range(lanes)
@@ -60,12 +64,12 @@ def simhash(rows: DataFrame, keys: list[str], shingle: str) -> DataFrame:
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n_shingles"), *sums)
     bits = F.lit(0).cast("bigint")
     for k in range(lanes):
-        for j in range(64 // FIELD_BITS):
-            count = F.shiftrightunsigned(f"_s{k}", FIELD_BITS * j).bitwiseAND(F.lit(0xFFFF))
+        for j in range(64 // field_bits):
+            count = F.shiftrightunsigned(f"_s{k}", field_bits * j).bitwiseAND(F.lit((1 << field_bits) - 1))
             bit = F.when(count * 2 > F.col("n_shingles"), F.lit(1 << k).cast("bigint")).otherwise(
                 F.lit(0).cast("bigint")
             )
-            bits = bits.bitwiseOR(F.shiftleft(bit, FIELD_BITS * j))
+            bits = bits.bitwiseOR(F.shiftleft(bit, field_bits * j))
     return counted.select(*keys, "n_shingles", bits.alias("fingerprint"))
 
 
@@ -92,7 +96,8 @@ def contaminated(
     """Benchmark items that appear in documents: one row per row of ``docs`` and item.
 
     Reads doc_id, text and item_id, text. Every window of an item's number of words that
-    is aligned with the item by a shared five-word shingle gets a fingerprint; windows
+    holds enough of its five-word shingles to be alike, in any order and at any place,
+    gets a fingerprint; windows
     meet items of their size whose fingerprints differ in at most ``radius`` bits (all
     of them: the multi-index blocks lose none); pairs whose weighted shingle similarity
     (sum of smaller over sum of larger counts) is at least ``similarity`` are returned:
@@ -100,9 +105,9 @@ def contaminated(
     n_window_words of that window (the earliest of equals).
 
     Words are lower-case runs of letters and digits. Null texts are empty. Documents
-    and items with fewer than five words have no shingle and match nothing; an item
-    with more than 32,767 shingles raises. Null ids are kept as they are. Repeated rows
-    of ``docs`` give rows each; items repeated with one item_id and text count once.
+    and items with fewer than five words have no shingle and match nothing. Null ids are
+    kept as they are. Repeated rows of ``docs`` give rows each; items repeated with one
+    item_id and text count once.
     A document shorter than an item is one window. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -117,20 +122,47 @@ def contaminated(
         F.max(F.size("shingles")).alias("most"),
         F.sum(F.size("shingles")).alias("total"),
     ).first()
-    if size.n and size.most > MOST_SHINGLES:
-        raise ValueError(f"an item has more than {MOST_SHINGLES} shingles")
+    field_bits = WIDE_FIELD_BITS if size.n and size.most > MOST_SHINGLES else FIELD_BITS
     rows = docs.select(*kept, "text")
     n_blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-(size.total or 0) // BLOCK_SHINGLES))
     found = None
     for k in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k)
-        pairs = one_block(rows, part, kept, similarity, radius)
+        pairs = one_block(rows, part, kept, similarity, radius, field_bits)
         found = pairs if found is None else found.unionByName(pairs)
     return found
 
 
+def window_starts(similarity: float) -> Column:
+    """Starts of all windows that hold enough places of an item's shingles (``places``).
+
+    A window and an item of the given similarity share s / (1 + s) of their shingles'
+    number at least. So many neighbouring places must lie in a window; its starts reach
+    from where it ends with the last of them to the first.
+    """
+    wide = F.col("item_words") - 4
+    inside = F.least(wide, F.col("n_words") - 4)
+    share = similarity / (1 + similarity)
+    need = F.greatest(F.ceil(F.lit(share) * (inside + wide) - 1e-6), F.lit(1)).cast("int")
+    none = F.array().cast("array<int>")
+
+    def around(k: Column) -> Column:
+        first = F.greatest(F.get("places", k + need - 1) - inside + 1, F.lit(0))
+        last = F.least(F.get("places", k), F.col("n_words") - 4 - inside)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(none)
+
+    spare = F.size("places") - need
+    every = F.flatten(F.transform(F.sequence(F.lit(0), spare), around))
+    return F.when(spare >= 0, F.array_distinct(every)).otherwise(none)
+
+
 def one_block(
-    docs: DataFrame, items: DataFrame, kept: list[str], similarity: float, radius: int
+    docs: DataFrame,
+    items: DataFrame,
+    kept: list[str],
+    similarity: float,
+    radius: int,
+    field_bits: int = FIELD_BITS,
 ) -> DataFrame:
     """``contaminated`` for items whose shingles are few enough to broadcast."""
     known = items.select(
@@ -142,11 +174,13 @@ def one_block(
     touched = stored(touched.withColumn("row", F.monotonically_increasing_id()), "touched-documents")
 
     hits = touched.select("row", "n_words", F.posexplode("shingles").alias("p", "shingle")).join(
-        F.broadcast(known), "shingle"
+        F.broadcast(known.select("item", "item_words", "shingle").distinct()), "shingle"
+    )
+    placed = hits.groupBy("row", "n_words", "item", "item_words").agg(
+        F.sort_array(F.collect_list("p")).alias("places")
     )
-    start = F.greatest(F.least(F.col("p") - F.col("q"), F.col("n_words") - F.col("item_words")), F.lit(0))
     windows = (
-        hits.select("row", start.alias("start"), "item_words")
+        placed.select("row", F.explode(window_starts(similarity)).alias("start"), "item_words")
         .groupBy("row")
         .agg(F.collect_set(F.struct("start", "item_words")).alias("windows"))
         .join(touched.select("row", "shingles"), "row")
@@ -160,8 +194,8 @@ def one_block(
     )
     windows = stored(windows, "windows")
     keys = ["row", "start", "item_words"]
-    prints = simhash(windows.select(*keys, F.explode("inside").alias("shingle")), keys, "shingle")
-    item_prints = simhash(known, ["item", "item_words"], "shingle").withColumnsRenamed(
+    prints = simhash(windows.select(*keys, F.explode("inside").alias("shingle")), keys, "shingle", field_bits)
+    item_prints = simhash(known, ["item", "item_words"], "shingle", field_bits).withColumnsRenamed(
         {"fingerprint": "item_fingerprint", "n_shingles": "item_shingles"}
     )
     indexed = item_prints.select("*", F.explode(blocks(F.col("item_fingerprint"), radius)).alias("b"))

@@ -54,6 +54,26 @@ def test_equals_brute_force(spark):
     assert len(got) == len(brute(docs, items))
 
 
+def test_moved_blocks_and_insertions_equal_brute_force(spark):
+    items = [prose(500 + k, 60) for k in range(6)]
+    docs = []
+    for k, item in enumerate(items):
+        w = item.split()
+        moved = w[6 + k :] + w[: 6 + k]
+        more = w[:20] + ["inserted"] * (k % 3) + w[20:40] + w[40 + k % 2 :]
+        for part in (moved, more):
+            docs.append(" ".join([prose(600 + k, 70), *part, prose(700 + k, 30)]))
+    want = brute(docs, items)
+    assert (4, 2) in want
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, items).collect()} == want
+
+
+def test_an_item_longer_than_the_narrow_counters(spark, monkeypatch):
+    monkeypatch.setattr(D, "MOST_SHINGLES", 20)
+    docs, items = data()
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, items).collect()} == brute(docs, items)
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_ITEMS", 5)
     docs, items = data()
