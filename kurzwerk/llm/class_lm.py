@@ -29,14 +29,14 @@ class Settings:
     """Sizes of the model; they bound what is broadcast and held, never the counts."""
 
     #: Training words that are items of their own, and types of all other words.
-    item_words: int = 4000
-    types: int = 1024
-    classes: int = 40
+    item_words: int = 6000
+    types: int = 2048
+    classes: int = 48
     #: Passes of the exchange over all items, each after a pass over the corpus.
     sweeps: int = 3
     #: So many of the most frequent words, at most, have their counts sent to every task;
     #: the others' are joined.
-    near_words: int = 200_000
+    near_words: int = 300_000
     #: Taken off every count within a type, for its unseen words.
     discount: float = 0.5
     transition_floor: float = 0.5

@@ -80,6 +80,12 @@ def test_probabilities_of_what_may_follow_add_up_to_one(spark, sf):
         assert math.isclose(total, 1, rel_tol=1e-9)
 
 
+def test_sizes_of_the_model_are_not_cut():
+    s = L.Settings()
+    assert (s.item_words, s.types, s.classes, s.near_words) >= (6000, 2048, 48, 300_000)
+    assert min(s.item_words - 6000, s.types - 2048, s.classes - 48, s.near_words - 300_000) >= 0
+
+
 def test_edge_rows(spark):
     assert L.score(no_rows(spark), SMALL).collect() == []
     got = L.score(edge_rows(spark), SMALL).collect()
