@@ -7,7 +7,7 @@ from kurzwerk.llm import queries as Q
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in Q.registered()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in Q.registered()) == list(range(1, 14))
     assert set(Q.registered()) | {"pipeline"} <= set(entry.queries())
 
 
