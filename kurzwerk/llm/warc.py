@@ -18,9 +18,13 @@ from kurzwerk.session import work_dir
 
 VERSION = b"WARC/1.0"
 GZIP_MAGIC = b"\x1f\x8b\x08"
+START = re.compile(rb"WARC/[0-9]|" + re.escape(GZIP_MAGIC))
 READ_BYTES = 1 << 20
-#: A head without its blank line within so many bytes is damage.
+#: Larger than what a row can hold, so that it only bounds what damage makes a task unpack.
+MEMBER_BYTES = 4 << 30
+#: A head that is longer than this and holds bytes that no text has is damage.
 HEAD_BYTES = 64 << 10
+NO_TEXT = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 PAGE_ID = "X-Page-Id"
 REFERS_TO_ID = "X-Refers-To-Page-Id"
 PAYLOAD_LENGTH = "X-Payload-Length"
@@ -177,11 +181,12 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
     """
     if not raw[:5] == b"WARC/"[: len(raw[:5])]:
         raise Damage("no version line")
-    stop = raw.find(b"\r\n\r\n", 0, HEAD_BYTES)
-    if stop < 0:
-        if len(raw) >= HEAD_BYTES:
+    stop = raw.find(b"\r\n\r\n")
+    if stop < 0 or stop > HEAD_BYTES:
+        if len(raw) > HEAD_BYTES and NO_TEXT.search(raw, 0, stop if stop >= 0 else len(raw)):
             raise Damage("head without end")
-        return None
+        if stop < 0:
+            return None
     lines = raw[:stop].split(b"\r\n")
     if not re.fullmatch(rb"WARC/\d+\.\d+", lines[0]):
         raise Damage("bad version line")
@@ -248,22 +253,22 @@ def member_records(window: Window, most: int) -> tuple[list, int]:
 
 
 def next_start(window: Window) -> int | None:
-    """Bytes to the next place after this one that looks like a member or version line."""
-    at = 1
+    """Bytes to the next place after this one that looks like a member or version line.
+
+    A version line need not follow a line feed: a damaged member may stand before it.
+    Whether a record is there the full parse decides.
+    """
     while True:
-        window.fill(at + READ_BYTES)
-        tests = (b"\n" + VERSION[:5], 1), (GZIP_MAGIC, 0)
-        found = [k + skip for mark, skip in tests if (k := window.data.find(mark, at - skip)) >= 0]
-        found = [k for k in found if k >= at]
+        window.fill(1 + READ_BYTES)
+        found = START.search(window.data, 1)
         if found:
-            return min(found)
+            return found.start()
         if window.over:
             return None
         window.drop(len(window.data) - 8)
-        at = 1
 
 
-def salvage(stream, most: int = 1 << 30) -> Iterator[tuple[int, int, str | None, list]]:
+def salvage(stream, most: int = MEMBER_BYTES) -> Iterator[tuple[int, int, str | None, list]]:
     """(start, end, fault, records) of a file of plain and packed records, mixed at will.
 
     Where a record or member fails its checks, its bytes up to the next place with a
@@ -296,38 +301,48 @@ def salvage(stream, most: int = 1 << 30) -> Iterator[tuple[int, int, str | None,
         yield gap[0], window.start, gap[1], []
 
 
-def read_warc(files: DataFrame, most: int = 1 << 30) -> DataFrame:
+def read_warc(files: DataFrame, most: int = MEMBER_BYTES, whole: bool = False) -> DataFrame:
     """Records and quarantined gaps of the archives in column ``file``.
 
     One row per record (fault null) or gap (fault says why; record_type, headers and
     payload null), with the byte range in its file. A file is read as a stream, one
     record at a time; ``most`` bounds the unpacked size of a member. Missing or empty
     files of nonzero name give a gap of no bytes and no rows, respectively.
+
+    With ``whole``, the files are those of a table of ``write_warc``: a missing file, a
+    gap, or another number of records than the table's ``n_records`` stops the job.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file in batch["file"]:
+            for file, expected in zip(batch["file"], batch["n_records"]):
                 if file is None:
                     continue
-                rows, size = [], 0
+                rows, size, count = [], 0, 0
                 fs, path = filesystem(file)
                 try:
                     stream = fs.open_input_stream(path, compression=None)
                 except FileNotFoundError:
+                    if whole:
+                        raise
                     rows.append((file, 0, 0, "no such file", None, None, None))
                 else:
                     with stream:
                         for start, end, fault, records in salvage(stream, most):
+                            if fault and whole:
+                                raise ValueError(f"{file}, bytes {start} to {end}: {fault}")
                             if fault:
                                 rows.append((file, start, end, fault, None, None, None))
                             for head, block in records:
                                 kind = head.get("warc-type")
                                 rows.append((file, start, end, None, kind, head, block))
                                 size += len(block)
+                            count += len(records)
                             if size > 8 << 20 or len(rows) >= 5000:
                                 yield frame(rows)
                                 rows, size = [], 0
+                if whole and count != expected:
+                    raise ValueError(f"{file}: {count} records of {expected}")
                 if rows:
                     yield frame(rows)
 
@@ -335,7 +350,8 @@ def read_warc(files: DataFrame, most: int = 1 << 30) -> DataFrame:
         names = [c.split()[0] for c in RECORD_SCHEMA.replace("map<string,string>", "m").split(", ")]
         return pd.DataFrame(rows, columns=names)
 
-    return files.select("file").mapInPandas(read, RECORD_SCHEMA)
+    counts = F.col("n_records") if whole else F.lit(0)
+    return files.select("file", counts.alias("n_records")).mapInPandas(read, RECORD_SCHEMA)
 
 
 def page_records(records: DataFrame) -> DataFrame:
@@ -374,7 +390,13 @@ def from_base32(text):
 
 
 def roundtrip(spark: SparkSession, pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Write ``pages`` as archives in the shared work folder and read them back."""
+    """Write ``pages`` as archives in the shared work folder and read them back.
+
+    One row per page: null html is an empty payload, null ids and urls are allowed,
+    repeated rows are records each, other columns are ignored, no rows give no rows, and
+    urls and payloads may be of any length. A record that does not come back stops the
+    job.
+    """
     files = stored(write_warc(pages, work_dir(spark, "warc"), least), "warc-files")
     n = max(1, files.count())
-    return page_records(read_warc(files.repartition(n)))
+    return page_records(read_warc(files.repartition(n), whole=True))

@@ -88,3 +88,48 @@ def test_damage_in_files_is_told_with_its_bytes(spark, tmp_path):
     gaps = {(os.path.basename(r.file), r.start, r.end) for r in rows if r.fault}
     start = len(RECORDS[0])
     assert gaps == {("a.warc.gz", start, start + 4), ("missing.warc", 0, 0)}
+
+
+def test_a_plain_record_right_behind_a_damaged_member():
+    parts = [warc.record_bytes(record(1, b"a" * 500)), warc.record_bytes(record(2, b"b\n" * 9), False)]
+    parts[0] = parts[0][:40] + b"\x00" * 30 + parts[0][70:]
+    rows = found(b"".join(parts))
+    assert [bool(r[2]) for r in rows] == [True, False] and rows[0][1] == len(parts[0])
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_long_heads_are_read_and_endless_ones_are_damage(packed):
+    long = record(1, b"x")
+    long.url = "http://a.example/" + "u" * 300_000
+    good = warc.record_bytes(record(2, b"y"))
+    rows = found(warc.record_bytes(long, packed) + good)
+    assert [len(r[3]) for r in rows] == [1, 1]
+    assert rows[0][3][0][0]["warc-target-uri"] == long.url
+    broken = b"WARC/1.0\r\nA: " + os.urandom(200_000).replace(b"\r", b"x") + good
+    assert [bool(r[2]) for r in found(broken)] == [True, False]
+
+
+def test_long_urls_and_clashing_names_come_back(spark):
+    rows = [(1, "http://a/" + "x" * 100_000, "h" * 2000, "f", 1, "r"), (2, "u", "é" * 1_500_000, "f", 2, "r")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, file string, n_records int, shared_digest string")
+    got = sorted(tuple(r)[:2] for r in warc.roundtrip(spark, pages).collect())
+    assert got == [(1, 2000), (2, 3_000_000)]
+
+
+def test_a_missing_or_damaged_file_stops_a_whole_read(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id bigint, url string, html string")
+    files = warc.write_warc(pages, str(tmp_path)).collect()
+    again = spark.createDataFrame(files)
+    assert warc.read_warc(again, whole=True).count() == 1
+    more = spark.createDataFrame([(f.file, f.n_records + 1) for f in files], "file string, n_records bigint")
+    with pytest.raises(Exception, match="records of"):
+        warc.read_warc(more, whole=True).collect()
+    path = files[0].file
+    raw = open(path, "rb").read()
+    open(path, "wb").write(raw[:60])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_warc(again, whole=True).collect()
+    assert warc.read_warc(again).filter("fault is not null").count() == 1
+    os.remove(path)
+    with pytest.raises(Exception, match="FileNotFound|No such file"):
+        warc.read_warc(again, whole=True).collect()
