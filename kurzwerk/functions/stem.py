@@ -11,11 +11,6 @@ from __future__ import annotations
 import functools
 import re
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Suffix rules and irregular words of the published algorithm.
 IRREGULAR = {
     "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -138,21 +133,3 @@ def stem(word: str) -> str:
     for step in (plural, past, final_y, double, single, last, final_e):
         word = step(word)
     return word
-
-
-def stem_tokens(tokens: Column) -> Column:
-    """Stems of an ARRAY<STRING>; each distinct word of a batch is stemmed once."""
-
-    @F.arrow_udf("array<string>")
-    def stems(rows: pa.Array) -> pa.Array:
-        coded = pc.dictionary_encode(rows.flatten())
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        done = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-        ends = pc.cumulative_sum(
-            pc.fill_null(rows.value_lengths(), 0).cast(pa.int32())
-        )
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, done.take(coded.indices))
-
-    return stems(tokens)

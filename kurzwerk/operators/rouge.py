@@ -8,19 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kurzwerk.functions import text as X
-from kurzwerk.functions.lcs import common_subsequence
-from kurzwerk.functions.stem import stem_tokens
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """Overlapping n-grams as strings joined by a blank."""
-    if n == 1:
-        return tokens
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+from kurzwerk.functions.overlap import overlap_counts
 
 
 def precision_recall_f(df: DataFrame, name: str) -> DataFrame:
@@ -47,68 +35,29 @@ def rouge_scores(
     stem: bool = True,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Counts, precision, recall and F1 per pair; ``key`` is unique.
+    """Counts, precision, recall and F1 of every pair, row by row.
 
-    The token lists are shuffled once by ``key``; n-grams become rows only after
-    that and are counted for both sides in one aggregation, without a join and
-    without a shuffle of n-grams. No key is shared between pairs, so frequent
-    words cause no skew. ``carry`` names columns of ``pairs`` to hand through.
+    Nothing is grouped, sorted or shuffled: one Arrow step codes the tokens of a batch
+    and intersects the n-grams of each pair as sorted codes. ``orders`` are the lengths
+    of the n-grams, ``longest`` adds the longest common subsequence. ``carry`` names
+    columns of ``pairs`` to hand through. A null text has no tokens.
     """
-    prepare = stem_tokens if stem else (lambda tokens: tokens)
-    tokens = pairs.select(
-        key,
-        *carry,
-        prepare(X.rouge_tokens(F.col(reference))).alias("_ref"),
-        prepare(X.rouge_tokens(F.col(candidate))).alias("_cand"),
-    )
-    if longest:
-        tokens = tokens.withColumn("_lcs", common_subsequence(F.col("_ref"), F.col("_cand")))
-    else:
-        tokens = tokens.withColumn("_lcs", F.lit(0))
-    tokens = tokens.repartition(key)
-
-    def tagged(column: str, n: int, in_ref: int) -> Column:
-        return F.transform(
-            ngrams(F.col(column), n),
-            lambda g: F.struct(
-                F.lit(n).alias("n"),
-                g.alias("gram"),
-                F.lit(in_ref).alias("r"),
-                F.lit(1 - in_ref).alias("c"),
-            ),
-        )
-
-    rows = F.concat(*[tagged(c, n, side) for n in orders for c, side in (("_ref", 1), ("_cand", 0))])
-    sizes = [F.size("_ref").alias("_n_ref"), F.size("_cand").alias("_n_cand")]
-    per_gram = (
-        tokens.select(key, *carry, "_lcs", *sizes, F.explode_outer(rows).alias("_g"))
-        .groupBy(key, "_g.n", "_g.gram")
-        .agg(
-            F.sum("_g.r").alias("_r"),
-            F.sum("_g.c").alias("_c"),
-            *[F.first(c).alias(c) for c in (*carry, "_lcs", "_n_ref", "_n_cand")],
-        )
+    counts = overlap_counts(
+        X.rouge_tokens(F.col(reference)), X.rouge_tokens(F.col(candidate)), orders, longest, stem
     )
-    aggregates = [F.max(c).cast("bigint").alias(c) for c in ("_lcs", "_n_ref", "_n_cand")]
+    scores = pairs.select(key, *carry, counts.alias("_n"))
     names = []
     for n in orders:
         name = f"rouge{n}"
         names.append(name)
-        of_n = F.col("n") == n
-        for suffix, value in (
-            ("overlap", F.least("_r", "_c")),
-            ("reference", F.col("_r")),
-            ("candidate", F.col("_c")),
-        ):
-            total = F.coalesce(F.sum(F.when(of_n, value)), F.lit(0))
-            aggregates.append(total.cast("bigint").alias(f"{name}_{suffix}"))
-    aggregates += [F.first(c).alias(c) for c in carry]
-    scores = per_gram.groupBy(key).agg(*aggregates)
+        columns = {f"{name}_overlap": F.col(f"_n.shared_{n}")}
+        for side in ("reference", "candidate"):
+            columns[f"{name}_{side}"] = F.greatest(F.col(f"_n.n_{side}") - (n - 1), F.lit(0))
+        scores = scores.withColumns(columns)
     if longest:
         names.append("rougeL")
-        scores = scores.withColumnsRenamed(
-            {"_lcs": "rougeL_overlap", "_n_ref": "rougeL_reference", "_n_cand": "rougeL_candidate"}
-        )
+        columns = {f"rougeL_{side}": F.col(f"_n.n_{side}") for side in ("reference", "candidate")}
+        scores = scores.withColumns({"rougeL_overlap": F.col("_n.lcs"), **columns})
     for name in names:
         scores = precision_recall_f(scores, name)
     return scores.select(

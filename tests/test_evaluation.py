@@ -2,6 +2,8 @@ import csv
 import glob
 import json
 import random
+import time
+from collections import Counter
 
 import golden
 import numpy as np
@@ -9,7 +11,8 @@ import pytest
 from models import model_lcs, model_rouge
 from pyspark.sql import functions as F
 
-from kurzwerk.functions.lcs import lcs_length
+from kurzwerk.functions import overlap as O
+from kurzwerk.functions.lcs import by_bits, by_matches, lcs_length
 from kurzwerk.functions.stem import stem
 from kurzwerk.operators import evaluation as E
 from kurzwerk.operators import rouge as R
@@ -68,25 +71,67 @@ def test_rouge_equals_brute_force(spark):
     pairs = [
         (i, " ".join(rng.choices(pool, k=rng.randint(0, 15))), " ".join(rng.choices(pool, k=rng.randint(0, 15))))
         for i in range(300)
-    ]
+    ] + [(300, None, "the cat"), (301, "the cat", None), (302, None, None), (302, "a a a", "a a")]
     df = spark.createDataFrame(pairs, "pair_id int, reference string, candidate string")
     for stemmed in (False, True):
         prepare = stem if stemmed else (lambda t: t)
-        rows = {r.pair_id: r for r in R.rouge_scores(df, stem=stemmed).collect()}
+        rows = R.rouge_scores(df, orders=(1, 2, 3), stem=stemmed).collect()
         assert len(rows) == len(pairs)
-        for i, a, b in pairs:
-            for n in (1, 2):
-                assert abs(rows[i][f"rouge{n}_f"] - model_rouge(a, b, n, prepare)) < 1e-12
-
-
-def test_lcs_equals_the_table(spark):
+        for row, (i, a, b) in zip(sorted(rows, key=lambda r: (r.pair_id, r.rouge1_overlap)), pairs):
+            assert row.pair_id == i
+            for n in (1, 2, 3):
+                assert abs(row[f"rouge{n}_f"] - model_rouge(a or "", b or "", n, prepare)) < 1e-12
+    assert (row.rouge1_overlap, row.rouge2_overlap, row.rouge2_reference, row.rougeL_overlap) == (2, 1, 2, 2)
+
+
+def test_scores_are_row_local(spark):
+    """No n-gram becomes a row: one Python step and nothing that moves or sorts."""
+    rows = [(1, "a b", "a", 1, "x")]
+    df = spark.createDataFrame(rows, "example_id int, article string, reference string, n int, error string")
+    plan = PE.detail_of(df)._jdf.queryExecution().executedPlan().toString()
+    for node in ("Exchange", "Aggregate", "Generate", "Sort", "Join", "Window"):
+        assert node not in plan, node
+    scores = R.rouge_scores(df, "example_id", "article", "reference", carry=["error"])
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_n_grams_of_many_words_stay_apart():
+    """Numbers of grams are exact however many different tokens there are."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [[str(rng.randrange(50_000)) for _ in range(rng.randrange(400))] for _ in range(60)]
+    other = [t[rng.randrange(5) :] + texts[(i * 7) % 60][:50] for i, t in enumerate(texts)]
+    sides = O.coded([pa.array(texts), pa.array(other)], False)
+    for n in (1, 2, 4):
+        grams = lambda t: Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1))  # noqa: E731, B023
+        want = [sum((grams(a) & grams(b)).values()) for a, b in zip(texts, other)]
+        assert O.shared_grams(sides, n, 60).tolist() == want
+
+
+def test_lcs_equals_the_table():
     rng = random.Random(9)
     for _ in range(400):
         a = [rng.choice("abcd") for _ in range(rng.randint(0, 40))]
         b = [rng.choice("abcde") for _ in range(rng.randint(0, 40))]
+        assert by_bits(a, b) == by_matches(a, b) == lcs_length(a, b) == model_lcs(a, b)
+    for pool in (3, 5000):
+        a, b = ([rng.randrange(pool) for _ in range(600)] for _ in range(2))
         assert lcs_length(a, b) == model_lcs(a, b)
 
 
+@pytest.mark.parametrize("pool", [20, 3_000, 10**9])
+def test_lcs_of_long_texts_takes_seconds(pool):
+    """Few words (many matches) and many words (wide tables) alike."""
+    rng = random.Random(4)
+    a = [rng.randrange(pool) for _ in range(50_000)]
+    b = [x for x in a if rng.random() < 0.7] + [rng.randrange(pool) for _ in range(15_000)]
+    started = time.perf_counter()
+    assert lcs_length(a, b) >= 30_000
+    assert time.perf_counter() - started < 10
+
+
 def test_stems():
     # Examples of the published rules.
     pairs = {
