@@ -23,6 +23,7 @@ from kurzwerk.plans import summarise as PS
 from kurzwerk.session import ship_package, work_dir
 from kurzwerk.sources import corpus, reports
 from kurzwerk.sources.uploads import plain_text_pages, python_pages
+from kurzwerk.streaming import documents as SD
 from kurzwerk.streaming import intake as SI
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,17 +281,15 @@ def q_incremental_intake(spark, sf):
 
 
 def q_incremental_pages(spark, sf):
-    """Page rows as a stream of files; the pages of a document arrive in three batches."""
+    """Page rows as a stream; a third of each document's pages comes before each restart."""
     place = work_dir(spark, "incremental-pages")
     pages = page_rows(spark, sf)
     for part in range(3):
         some = pages.filter(F.pmod(F.col("page_no"), F.lit(3)) == part)
-        some.coalesce(1).write.mode("append").parquet(f"{place}/in")
-    stream = SI.read_stream(spark, f"{place}/in", pages.schema, files_per_batch=1)
-    SI.start_page_intake(
-        stream, f"{place}/out", f"{place}/state", UPLOAD_PARAMS, buckets=4
-    ).awaitTermination()
-    return SI.read_page_outcomes(spark, f"{place}/out")
+        some.write.mode("append").parquet(f"{place}/in")
+        stream = SI.read_stream(spark, f"{place}/in", pages.schema)
+        SD.start_page_intake(stream, f"{place}/out", f"{place}/state", UPLOAD_PARAMS).awaitTermination()
+    return SD.read_page_outcomes(spark, f"{place}/out").drop("complete")
 
 
 # --- summaries and metrics --------------------------------------------------

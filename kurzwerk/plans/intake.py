@@ -97,7 +97,17 @@ def classify_pages(
 
     A document above the page limit keeps its counts; its text is withheld.
     """
-    docs = PG.assemble_pages(pages, doc, page_no, text)
+    return classify_documents(PG.assemble_pages(pages, doc, page_no, text), params, doc, filename)
+
+
+def classify_documents(
+    docs: DataFrame,
+    params: Params = Params(),
+    doc: str = "doc_id",
+    filename: str | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Outcomes of the rows of ``assemble_pages``; row by row."""
     reason = V.document_reason(
         F.lit(False), F.col("has_text"), F.col("num_pages"), params
     )
@@ -114,4 +124,5 @@ def classify_pages(
         "num_characters",
         "n_page_errors",
         "ready",
+        *carry,
     )

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import StructType
 
 from kurzwerk.params import Params
-from kurzwerk.plans.intake import classify_pages, classify_uploads
+from kurzwerk.plans.intake import classify_uploads
 from kurzwerk.sources.uploads import Extractor
 
 
@@ -49,50 +48,3 @@ def start_intake(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def start_page_intake(
-    pages: DataFrame,
-    output: str,
-    checkpoint: str,
-    params: Params = Params(),
-    doc: str = "doc_id",
-    page_no: str = "page_no",
-    text: str = "text",
-    buckets: int = 64,
-) -> StreamingQuery:
-    """Assemble documents from a stream of page rows, whenever their pages arrive.
-
-    Every batch adds its pages to a table below ``output`` and classifies the documents
-    it touches anew, from all their pages so far. The table lies in ``buckets`` folders
-    by document, so only those of touched documents are read. A batch that is repeated
-    after a failure overwrites its own folders and does not see later ones.
-    ``read_page_outcomes`` gives the newest outcome of every document.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        store = f"{output}/pages"
-        bucket = F.pmod(F.xxhash64(F.col(doc)), F.lit(buckets)).cast("int")
-        rows = batch.select(doc, page_no, text).withColumn("bucket", bucket)
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
-        schema = StructType(rows.schema.fields).add("batch", LongType())
-        stored = spark.read.schema(schema).parquet(store).filter(F.col("batch") <= batch_id)
-        touched = stored.filter(F.col("batch") == batch_id).select("bucket", doc).distinct()
-        again = stored.join(touched, ["bucket", doc], "left_semi")
-        outcomes = classify_pages(again, params, doc, page_no, text)
-        outcomes.write.mode("overwrite").parquet(f"{output}/outcomes/batch={batch_id}")
-
-    return (
-        pages.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def read_page_outcomes(spark: SparkSession, output: str, doc: str = "doc_id") -> DataFrame:
-    """The newest outcome of every document of ``start_page_intake``."""
-    every = spark.read.parquet(f"{output}/outcomes")
-    newest = every.groupBy(doc).agg(F.max("batch").alias("batch"))
-    return every.join(newest, [doc, "batch"], "left_semi").drop("batch")

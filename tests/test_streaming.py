@@ -1,10 +1,23 @@
 import base64
+import time
+
+import pytest
 
 from kurzwerk.params import Params
+from kurzwerk.plans.intake import classify_pages
 from kurzwerk.sources.uploads import plain_text_pages
+from kurzwerk.streaming import documents as SD
 from kurzwerk.streaming import intake as SI
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def data_url(text: str) -> str:
     return "data:application/pdf;base64," + base64.b64encode(text.encode()).decode()
 
@@ -30,26 +43,76 @@ def test_each_upload_is_taken_once_over_restarts(spark, tmp_path):
     }
 
 
+def arrive(spark, place, rows, schema="doc_id long, page_no int, text string", **options):
+    """Write rows and run the page stream until it has taken them; every call is a restart."""
+    batch = spark.createDataFrame(rows, schema)
+    batch.coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = SI.read_stream(spark, f"{place}/in", batch.schema)
+    query = SD.start_page_intake(stream, f"{place}/out", f"{place}/state", Params(max_pages=2), **options)
+    query.awaitTermination()
+    return query
+
+
+def outcomes(spark, place):
+    got = SD.read_page_outcomes(spark, f"{place}/out").collect()
+    assert len(got) == len({r.doc_id for r in got})
+    return {r.doc_id: (r.reason, r.text) for r in got}
+
+
 def test_pages_that_come_over_time_make_one_document(spark, tmp_path):
-    schema = "doc_id long, page_no int, text string"
     arrivals = [
-        [(1, 2, "b"), (2, 1, None), (3, 1, "x")],
-        [(1, 1, "a"), (3, 2, "y")],
+        [(1, 2, "b"), (2, 1, None), (3, 1, "x"), (None, 1, "no id")],
+        [(1, 1, "a"), (3, 2, "y"), (None, None, "first")],
         [(3, 3, "z"), (4, 1, "neu")],
     ]
     want = [
-        {1: (None, "b"), 2: ("no_text", None), 3: (None, "x")},
-        {1: (None, "a b"), 2: ("no_text", None), 3: (None, "x y")},
-        {1: (None, "a b"), 2: ("no_text", None), 3: ("page_cap", None), 4: (None, "neu")},
+        {1: (None, "b"), 2: ("no_text", None), 3: (None, "x"), None: (None, "no id")},
+        {1: (None, "a b"), 3: (None, "x y"), None: (None, "first no id")},
+        {3: ("page_cap", None), 4: (None, "neu")},
     ]
+    known = {}
     for rows, outcome in zip(arrivals, want):
-        # Every round is a restart of the stream.
-        batch = spark.createDataFrame(rows, schema)
-        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = SI.read_stream(spark, str(tmp_path / "in"), batch.schema, files_per_batch=1)
-        SI.start_page_intake(
-            stream, str(tmp_path / "out"), str(tmp_path / "state"), Params(max_pages=2), buckets=2
-        ).awaitTermination()
-        got = SI.read_page_outcomes(spark, str(tmp_path / "out")).collect()
-        assert {r.doc_id: (r.reason, r.text) for r in got} == outcome
-        assert len(got) == len(outcome)
+        arrive(spark, tmp_path, rows)
+        known |= outcome
+        assert outcomes(spark, tmp_path) == known
+    pages = spark.read.parquet(f"{tmp_path}/in")
+    again = {tuple(r) for r in classify_pages(pages, Params(max_pages=2)).collect()}
+    got = SD.read_page_outcomes(spark, f"{tmp_path}/out").drop("complete").collect()
+    assert {tuple(r) for r in got} == again and not SD.read_late_pages(spark, f"{tmp_path}/out").count()
+
+
+def test_a_complete_document_leaves_the_state_and_late_pages_are_kept(spark, tmp_path):
+    schema = "doc_id long, page_no int, text string, total int"
+    first = arrive(spark, tmp_path, [(1, 1, "a", 2), (2, 1, "x", None)], schema, expected="total")
+    then = arrive(spark, tmp_path, [(1, 2, "b", None)], schema, expected="total")
+    assert [q.lastProgress["stateOperators"][0]["numRowsTotal"] for q in (first, then)] == [4, 3]
+    got = {r.doc_id: (r.text, r.complete) for r in SD.read_page_outcomes(spark, f"{tmp_path}/out").collect()}
+    assert got == {1: ("a b", True), 2: ("x", False)}
+    arrive(spark, tmp_path, [(1, 3, "late", None)], schema, expected="total")
+    assert outcomes(spark, tmp_path)[1] == (None, "a b")
+    assert [tuple(r) for r in SD.read_late_pages(spark, f"{tmp_path}/out").collect()] == [(1, 3, "late")]
+
+
+def test_idle_documents_are_dropped_by_their_timer(spark, tmp_path):
+    arrive(spark, tmp_path, [(1, 1, "a"), (2, 1, "x")], idle_ms=1)
+    time.sleep(0.1)
+    arrive(spark, tmp_path, [(3, 1, "n")], idle_ms=1)  # the timers of 1 and 2 run here
+    arrive(spark, tmp_path, [(1, 2, "b")], idle_ms=1)
+    assert outcomes(spark, tmp_path) == {1: (None, "a"), 2: (None, "x"), 3: (None, "n")}
+    assert [r.doc_id for r in SD.read_late_pages(spark, f"{tmp_path}/out").collect()] == [1]
+
+
+def test_a_batch_reads_no_more_after_many_batches(spark, tmp_path):
+    """Of many batches of new documents, the last reads as much state as the first ones."""
+    schema = "doc_id long, page_no int, text string"
+    for k in range(24):
+        rows = [(2 * k + d, p, "page " * 200) for d in range(2) for p in range(3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = SI.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_batch=1)
+    query = SD.start_page_intake(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert len(state) == 24 and state[-1]["numRowsTotal"] == 2 * 48
+    assert len({s["numRowsUpdated"] for s in state}) == 1
+    assert len({s["customMetrics"]["rocksdbTotalBytesRead"] for s in state}) == 1
+    assert SD.read_page_outcomes(spark, f"{tmp_path}/out").count() == 48
