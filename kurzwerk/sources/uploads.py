@@ -9,61 +9,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kurzwerk.params import Params
+from kurzwerk.sources import folder
 
 PAGES = pa.struct([("pages", pa.list_(pa.string())), ("error", pa.string())])
 Extractor = Callable[[Column], Column]
 
 
 def read_files(
-    spark: SparkSession,
-    path: str,
-    params: Params = Params(),
-    manifest: DataFrame | None = None,
+    spark: SparkSession, path: str, params: Params = Params(), tasks: int | None = None
 ) -> DataFrame:
     """``path, filename, size, content`` of every file below a folder.
 
-    Only files with the allowed ending are scanned for content, and the size filter
-    reaches that scan, so the bytes of other and of oversize files are never read;
-    they are rows without content. Files of zero bytes, over which Spark's scans pass,
-    come from the folder's listing, or from a ``manifest`` (``path, size``).
+    The folder is listed once, in tasks. Only files with the allowed ending and within
+    the size limit are opened; the others, and files of no bytes, are rows all the same.
+    The listed paths are dealt over ``tasks`` tasks before any file is read, so that a
+    folder with most of the files is not the work of one.
     """
-    ending = params.allowed_extension
-    glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    loaded = (
-        reader.option("pathGlobFilter", glob)
-        .load(path)
-        .filter(F.col("length") <= params.max_file_size)
-        .select("path", F.col("length").alias("size"), "content")
-    )
-    # Without the content column the scan lists files and opens none.
-    suffix = F.lower(F.right("path", F.lit(len(ending)))) == ending.lower()
-    others = (
-        reader.option("pathGlobFilter", "*")
-        .load(path)
-        .filter(~suffix | (F.col("length") > params.max_file_size))
-        .select("path", F.col("length").alias("size"), F.lit(None).cast("binary").alias("content"))
-    )
-    if manifest is None:
-        manifest = spark.createDataFrame(empty_files(spark, path), "path string, size bigint")
-    empty = manifest.filter("size = 0").select(
-        "path", F.col("size").cast("bigint"), F.lit("").cast("binary").alias("content")
-    )
-    name = F.element_at(F.split("path", "/"), -1)
-    every = loaded.unionByName(others).unionByName(empty)
-    return every.select("path", name.alias("filename"), "size", "content")
-
-
-def empty_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Paths of the files of zero bytes below a folder, by listing it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
-    found = []
-    while files.hasNext():
-        file = files.next()
-        if file.getLen() == 0:
-            found.append((file.getPath().toString(), 0))
-    return found
+    listing = folder.list_files(spark, path)
+    return contents_of(listing, params, tasks)
+
+
+def stream_files(
+    spark: SparkSession, path: str, params: Params = Params(), tasks: int | None = None, **options
+) -> DataFrame:
+    """The same as a stream: each batch has the files written since the one before."""
+    return contents_of(folder.stream_files(spark, path, **options), params, tasks)
+
+
+def contents_of(listing: DataFrame, params: Params, tasks: int | None) -> DataFrame:
+    tasks = tasks or 4 * listing.sparkSession.sparkContext.defaultParallelism
+    dealt = listing.repartition(tasks, "path")
+    return folder.with_contents(dealt, params.allowed_extension, params.max_file_size)
 
 
 def plain_text_pages(separator: str = "\f") -> Extractor:

@@ -8,6 +8,7 @@ from kurzwerk.operators import pages as PG
 from kurzwerk.operators import validation as V
 from kurzwerk.params import Params
 from kurzwerk.plans import intake as PI
+from kurzwerk.sources import folder as SF
 from kurzwerk.sources import uploads as U
 
 HEAD = "data:application/pdf;base64,"
@@ -113,24 +114,77 @@ def test_reader_hook_isolates_pages_and_files(spark):
     assert got["b.pdf"].reason == "unreadable" and got["c.txt"].reason == "extension"
 
 
+def some_files(place):
+    (place / "sub" / "deep").mkdir(parents=True)
+    (place / "_hidden").mkdir()
+    for name, content in {
+        "a b.pdf": b"Text", "sub/leer.pdf": b"", "gross.PDF": b"x" * 101, "notiz.txt": b"Text",
+        "sub/a b.pdf": b"Anders", "sub/deep/ü.pdf": b"tief", "_hidden/x.pdf": b"x", ".y.pdf": b"y",
+    }.items():
+        (place / name).write_bytes(content)
+
+
 def test_folder_of_files(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
-    (tmp_path / "a b.pdf").write_bytes(b"Text")
-    (tmp_path / "sub" / "leer.pdf").write_bytes(b"")
-    (tmp_path / "gross.pdf").write_bytes(b"x" * 101)
-    (tmp_path / "notiz.txt").write_bytes(b"Text")
-    (tmp_path / "sub" / "a b.pdf").write_bytes(b"Anders")
+    some_files(tmp_path)
     files = U.read_files(spark, str(tmp_path), Params(max_file_size=100))
     twins = files.filter("filename = 'a b.pdf'").collect()
     assert len({r.path for r in twins}) == 2
     assert {bytes(r.content) for r in twins} == {b"Text", b"Anders"}
     assert files.filter("filename = 'notiz.txt'").first().content is None
-    assert files.filter("filename = 'gross.pdf'").first().content is None
+    assert files.filter("filename = 'gross.PDF'").first().content is None
     got = PI.classify_files(files, U.plain_text_pages(), Params(max_file_size=100)).collect()
     reasons = {r.filename: r.reason for r in got}
-    assert reasons == {"a b.pdf": None, "leer.pdf": "empty", "gross.pdf": "oversize", "notiz.txt": "extension"}
-    plan = files._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,100)" in plan
+    assert reasons == {
+        "a b.pdf": None, "ü.pdf": None, "leer.pdf": "empty", "gross.PDF": "oversize", "notiz.txt": "extension"
+    }
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_a_listing_decides_filters_and_leaves_the_depth_to_tasks(spark, tmp_path, levels):
+    some_files(tmp_path)
+    every = SF.list_files(spark, f"file:{tmp_path}", levels=levels)
+    assert sorted(r.filename for r in every.collect()) == sorted(
+        ["a b.pdf", "a b.pdf", "gross.PDF", "leer.pdf", "notiz.txt", "ü.pdf"]
+    )
+    assert every.rdd.getNumPartitions() == [1, 2, 3][levels]
+    some = every.filter("size <= 100 and size > 0 and endswith(filename, '.pdf')")
+    assert sorted(r.size for r in some.collect()) == [4, 4, 6]
+    assert "Filter" not in some._jdf.queryExecution().executedPlan().toString().split("Scan")[0]
+    reader = SF.FolderReader({"path": str(tmp_path)})
+    kept = [SF.LessThanOrEqual(("size",), 100), SF.StringEndsWith(("filename",), "pdf")]
+    other = [SF.Filter(), SF.EqualTo(("length",), 1)]
+    assert list(reader.pushFilters(kept + other)) == other
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["size"] for r in rows) == [0, 4, 4, 6]
+
+
+def test_a_stream_of_files_equals_the_batch(spark, tmp_path):
+    place = tmp_path / "in"
+    place.mkdir()
+    params = Params(max_file_size=100)
+
+    def run():
+        stream = U.stream_files(spark, str(place), params, tasks=2)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect(), key=repr)
+
+    assert run() == []
+    some_files(place)
+    first = run()
+    assert first == sorted(U.read_files(spark, str(place), params).collect(), key=repr) and len(first) == 6
+    (place / "sub" / "neu.pdf").write_bytes(b"neu")
+    assert len(run()) == 7 == len(run())
+
+
+def test_a_file_that_is_gone_stops_the_job(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    listing = SF.list_files(spark, str(tmp_path)).collect()
+    (tmp_path / "a.pdf").unlink()
+    gone = spark.createDataFrame(listing, SF.LISTING)
+    with pytest.raises(Exception, match="FileNotFound|No such file"):
+        SF.with_contents(gone, ".pdf", 10).collect()
+    assert SF.list_files(spark, str(tmp_path)).collect() == []
 
 
 def test_accepted_and_quarantined_part_the_outcomes(spark):
