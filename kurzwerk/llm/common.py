@@ -103,24 +103,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Powers of the two bases and of their inverses, shared by all hashes of a process.
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd 64-bit numbers; two hashes of one sequence take different ones.
+BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base**k, base**-k) modulo 2**64 for k below n or more; as long as ever asked for."""
+    one = np.ones(1, np.uint64)
+    held = POWERS.get(base, (one, one))
+    if len(held[0]) < n:
+        inverse = pow(base, -1, 1 << 64)
+        grown = []
+        for table, factor in zip(held, (base, inverse)):
+            out = np.empty(n, np.uint64)
+            k = len(table)
+            out[:k] = table
+            while k < n:
+                more = min(k, n - k)
+                out[k : k + more] = out[:more] * np.uint64(pow(factor, k, 1 << 64))
+                k += more
+            grown.append(out)
+        POWERS[base] = held = tuple(grown)
+    return held
+
+
 class Rolling:
-    """Hashes of any stretch of a sequence from prefix sums, modulo 2**64."""
+    """Hashes of any stretch of a sequence from prefix sums, modulo 2**64.
+
+    Seeds that differ by an odd number give independent hashes of one sequence.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62, 1 << 63)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
+        self.base = BASES[seed % 2]
         self.table = rng.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self._up = self._down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self._up) < n:
-            k = len(self._up)
-            up = np.uint64(pow(self.base, k, 1 << 64))
-            down = np.uint64(pow(self.inverse, k, 1 << 64))
-            self._up = np.concatenate([self._up, self._up * up])
-            self._down = np.concatenate([self._down, self._down * down])
-        return self._up, self._down
+        return powers(self.base, n)
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums of a byte or uint64 sequence, for ``between``."""

@@ -118,7 +118,7 @@ class Kernel:
 def figures_of(texts: pa.Array, limits: dict[int, float], lines: tuple[float, float], least: int):
     """Figures and verdicts of an Arrow column of texts."""
     kernel = KERNELS.setdefault(tuple(sorted(limits)), Kernel(limits))
-    parts = [kernel.figures(d, o) for _, _, d, o in slices(texts)]
+    parts = [kernel.figures(d, o) for _, _, d, o in slices(texts, 1 << 20)]
     f = {k: np.concatenate([p[k] for p in parts], axis=-1) for k in parts[0]}
     words, chars = f["n_words"], np.maximum(f["word_chars"], 1)
     f["base_failed"] = (words < least) | (100 * f["n_repeat_words"] > 30 * words)

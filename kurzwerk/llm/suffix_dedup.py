@@ -1,20 +1,18 @@
-"""Removal of byte strings that occur more than once, by naming the suffixes of a sample.
-
-The corpus is taken as its suffixes of ``length`` bytes (the windows). Sorting all of
-them needs several bytes of shuffle per byte of text, so, as in the difference-cover
-construction, a sample is named first and the rest is merged by it:
-
-1. Sample. A cover of positions: every window holds a sampled position, and equal windows
-   hold it at the same place. A cover by residues has this for pairs of windows only and
-   costs |D| samples per v bytes; the cover here is chosen by content (the place of the
-   smallest hashed 64-byte string of a window) and costs one sample per 170 bytes.
-2. Triples. What a sample stands for is (bytes before, sampled string, bytes behind): the
-   text under all windows that chose it. Triples are sorted by their names; samples whose
-   string is unique are done, and so are triples that occur twice.
-3. Recursion. The rest is named again at finer steps of the distance between window and
-   sample, 64 and 8 bytes, together with all that share its inner string.
-4. Merge. The remaining single windows are named by their distance and whole text and
-   compared with their neighbours in the order of names.
+"""Removal of byte strings that occur more than once, by names of sampled windows.
+
+This replaces the difference-cover suffix array, whose sampled triples alone are several
+bytes of shuffle per byte of text; nothing here is ranked or sorted as suffixes. Windows
+are the strings of ``length`` bytes.
+
+1. Every window chooses a place in it by its content alone (that of its smallest hashed
+   64-byte string), so that equal windows choose the same place; neighbouring windows
+   mostly share theirs, which makes one sample per 170 bytes.
+2. A sample with the text under all windows that chose it is named by a hash of 128 bits.
+   Names that occur twice are repeated texts; samples whose 64-byte string is unique are
+   not repeated.
+3. Of the rest, the windows of a sample are parted by their distance from it, in steps of
+   64 bytes, then 8, then singly, and named and counted again; a window of 400 bytes is
+   repeated if its name and distance occur twice.
 
 Names are hashes of 128 bits; inner strings, which only prune, have 64.
 """
@@ -171,10 +169,12 @@ def finer_batch(batch: pa.RecordBatch, step: int, length: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(arrays, NAMES_OF_COLUMNS)
 
 
-def joined_to_texts(texts: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
+def joined_to_texts(
+    texts: DataFrame, lists: DataFrame, entries: int, how: str, digest: str = "digest"
+) -> DataFrame:
     """Texts with the list of their digest; small lists are broadcast, large ones shuffled."""
     side = F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists
-    return texts.join(side, "digest", how)
+    return texts.join(side, digest, how)
 
 
 def settle(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,9 +206,17 @@ def settle(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told.filter("done and weight = 1"), stays.join(on, "inner", "left_semi")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, digest: str = "digest") -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("text", text).withColumn("digest", F.unhex(F.md5(text.cast("binary"))))
+    return docs.withColumn("text", text).withColumn(digest, F.unhex(F.md5(text.cast("binary"))))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -283,10 +291,13 @@ def cut(text: bytes, spans: pa.StructArray | None) -> tuple[bytes, int, int]:
     return b"".join(kept), int((ends - starts).sum()), len(starts)
 
 
-def with_spans(docs: DataFrame, length: int) -> DataFrame:
+def with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """``docs`` with the spans of every text, and the name of their column."""
     spans = stored(repeated_spans(docs, length), "spans")
     entries = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return joined_to_texts(keyed(docs), spans, entries, "left")
+    digest, name = unused(docs, "digest"), unused(docs, "spans")
+    spans = spans.withColumnsRenamed({"digest": digest, "spans": name})
+    return joined_to_texts(keyed(docs, digest), spans, entries, "left", digest), name
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -313,19 +324,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     names = [c.split()[0] for c in schema.split(", ")]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_batches(with_spans(rows, length).select("doc_id", "text", "spans"), step, schema)
+    found, _ = with_spans(rows, length)
+    return map_batches(found.select("doc_id", "text", "spans"), step, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of text, and without texts left empty.
 
     Bytes of characters that a cut has split go too; n_chars, where there is such a
-    column, is counted anew. All other columns stay.
+    column, is counted anew. All other columns stay, whatever their names; null and empty
+    texts go, repeated rows lose the strings they share, no rows give no rows.
     """
     names = docs.columns
+    found, held = with_spans(docs, length)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = batch.column("spans")
+        spans = batch.column(held)
         left = []
         for r, text in enumerate(batch.column("text")):
             if spans[r].values is None:
@@ -340,4 +354,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         out = pa.RecordBatch.from_arrays(columns, names)
         return out.filter(pa.array([bool(t) for t in left]))
 
-    return map_batches(with_spans(docs, length).select(*names, "spans"), step, docs.schema)
+    return map_batches(found.select(*names, held), step, docs.schema)

@@ -73,10 +73,18 @@ def test_edge_rows(spark):
     assert len(rows) == 6 and all(r.n_removed == 0 for r in rows)
 
 
-def test_texts_without_their_repeats(spark):
+@pytest.mark.parametrize("other", ["spans", "digest", "Digest", "place", "text_", "inner"])
+def test_texts_without_their_repeats(spark, other):
     a, b = "ü" * 300 + " own text", "x" * 500
-    docs = [(1, a, 309, "k"), (2, b, 500, "k"), (3, b, 500, "k"), (4, "short", 5, None)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string, n_chars bigint, spans string")
-    got = {r.doc_id: r for r in S.without_repeats(df.withColumnRenamed("spans", "lang")).collect()}
-    assert set(got) == {1, 4} and got[4].text == "short"
+    docs = [(1, a, 309, "k"), (2, b, 500, "k"), (3, b, 500, "k"), (4, "short", 5, None), (5, None, 0, "n")]
+    df = spark.createDataFrame(docs, f"doc_id bigint, text string, n_chars bigint, {other} string")
+    out = S.without_repeats(df)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == df.columns
+    assert set(got) == {1, 4} and got[4].text == "short" and got[1][other] == "k"
     assert got[1].n_chars == len(got[1].text) and got[1].text.endswith(" own text")
+
+
+def test_no_texts_without_repeats(spark):
+    df = spark.createDataFrame([], "doc_id bigint, text string, digest string")
+    assert S.without_repeats(df).collect() == []
