@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from kurzwerk.llm.common import map_batches, ragged_take, slices, strings_between
+from kurzwerk.llm.common import kept_tables, map_batches, ragged_take, slices, strings_between
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Endings that stay with their apostrophe, as the split pattern lists them.
@@ -215,7 +215,7 @@ def joined(values: pa.Array, offsets: np.ndarray, separator: bytes | str) -> pa.
 
 
 #: Vocabularies of this process, by file.
-LOADED: dict[str, Ranks] = {}
+LOADED: dict[str, Ranks] = kept_tables(__name__)
 
 
 def ranks_of(path: str) -> Ranks:

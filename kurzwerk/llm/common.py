@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from kurzwerk.session import remove_work, ship_package, work_dir
 
 #: Bytes of text that one vectorised step handles; a longer text is one step of its own.
 SLICE_BYTES = 2 << 20
+#: The same for steps that hold many numbers for every byte.
+FINE_SLICE_BYTES = 1 << 19
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,16 +42,53 @@ def dropped(*tables: DataFrame) -> None:
 def map_batches(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
-    """Row-local step over Arrow batches."""
+    """Row-local step over Arrow batches; a task leaves no freed memory in its process."""
+    owner = getattr(step, "__module__", "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work_of(owner)
         for batch in batches:
             if batch.num_rows:
                 yield step(batch)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+#: Tables that operators keep from task to task in a process, and whose turn it was last.
+TABLES: dict[str, dict] = {}
+LAST: list[str] = []
+
+
+def kept_tables(owner: str) -> dict:
+    """A dictionary for an operator's tables, emptied when another one's tasks begin.
+
+    Processes are used again by the stages that follow; without this each would hold the
+    vocabularies and memories of all stages before.
+    """
+    return TABLES.setdefault(owner, {})
+
+
+def work_of(owner: str) -> None:
+    if LAST and LAST[0] != owner:
+        for name, tables in TABLES.items():
+            if name != owner:
+                tables.clear()
+        release()
+    LAST[:] = [owner]
+
+
+def release() -> None:
+    """Give memory that was freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(C_LIBRARY, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+C_LIBRARY = ctypes.CDLL(None)
+
+
 def slices(
     texts: pa.Array, size: int | None = None
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kurzwerk.llm.common import (
+    FINE_SLICE_BYTES,
     Rolling,
     fit_for_broadcast,
     is_word_byte,
@@ -171,7 +172,7 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         darts = DARTS.setdefault(bands * rows, Darts(bands * rows))
         keys, held, marks = [], [], []
-        for _, _, data, offsets in slices(batch.column("text"), 1 << 20):
+        for _, _, data, offsets in slices(batch.column("text"), FINE_SLICE_BYTES):
             units, at = SHINGLER.units(data, offsets)
             some = np.diff(at) > 0
             held.append(some)
@@ -196,7 +197,7 @@ def unit_sets(texts: DataFrame) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = []
-        for _, _, data, offsets in slices(batch.column("text"), 1 << 20):
+        for _, _, data, offsets in slices(batch.column("text"), FINE_SLICE_BYTES):
             units, at = SHINGLER.units(data, offsets)
             lists.append(
                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(units.view(np.int64)))

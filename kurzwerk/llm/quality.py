@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kurzwerk.llm.common import Rolling, is_word_byte, map_batches, mix, slices
+from kurzwerk.llm.common import FINE_SLICE_BYTES, Rolling, is_word_byte, map_batches, mix, slices
 
 #: Largest share of a text's word characters that may lie in n-grams of n words
 #: found twice or more. Fixed values of published pre-training filters.
@@ -118,7 +118,7 @@ class Kernel:
 def figures_of(texts: pa.Array, limits: dict[int, float], lines: tuple[float, float], least: int):
     """Figures and verdicts of an Arrow column of texts."""
     kernel = KERNELS.setdefault(tuple(sorted(limits)), Kernel(limits))
-    parts = [kernel.figures(d, o) for _, _, d, o in slices(texts, 1 << 20)]
+    parts = [kernel.figures(d, o) for _, _, d, o in slices(texts, FINE_SLICE_BYTES)]
     f = {k: np.concatenate([p[k] for p in parts], axis=-1) for k in parts[0]}
     words, chars = f["n_words"], np.maximum(f["word_chars"], 1)
     f["base_failed"] = (words < least) | (100 * f["n_repeat_words"] > 30 * words)

@@ -27,16 +27,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kurzwerk.llm.common import Rolling, dropped, map_batches, mix, slices, stored
+from kurzwerk.llm.common import (
+    FINE_SLICE_BYTES,
+    Rolling,
+    dropped,
+    map_batches,
+    mix,
+    slices,
+    stored,
+)
 
 LENGTH = 400
 SAMPLE_BYTES = 64
 STEPS = (64, 8, 1)
 PLACE_BITS = 24
-#: Bytes of texts sampled at once; every byte takes some 150 while it is.
-SAMPLE_SLICE_BYTES = 1 << 20
-#: Windows handled at once; a longer text is cut into overlapping pieces.
-PIECE_BYTES = 1 << 20
+#: Windows handled at once; a longer text is cut into overlapping pieces. Every byte
+#: takes some 150 while it is sampled.
+PIECE_BYTES = FINE_SLICE_BYTES
 #: Up to so many samples or spans are broadcast (12 bytes each) to the scan of the texts.
 BROADCAST_ENTRIES = 4_000_000
 
@@ -112,7 +119,7 @@ NAMES_OF_COLUMNS = [c.split()[0] for c in SAMPLE_SCHEMA.split(",")]
 
 def sample_batch(digests: pa.Array, texts: pa.Array, length: int) -> pa.RecordBatch:
     columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for first, _, data, offsets in slices(texts, SAMPLE_SLICE_BYTES):
+    for first, _, data, offsets in slices(texts, FINE_SLICE_BYTES):
         for base, part, at in pieces(data, offsets, length):
             found = list(samples_of(part, at, length))
             found[0] = found[0] + first

@@ -23,3 +23,16 @@ def test_equal_stretches_have_equal_hashes_wherever_they_are():
         at = np.arange(0, 500)
         names = r.between(r.prefix(data), at, at + 100)
         assert len(set(names.tolist())) == 300 and (names[:200] == names[300:500]).all()
+
+
+def test_tables_go_when_another_operator_works(monkeypatch):
+    monkeypatch.setattr(C, "TABLES", {})
+    monkeypatch.setattr(C, "LAST", [])
+    one, two = C.kept_tables("one"), C.kept_tables("two")
+    C.work_of("one")
+    one["a"] = 1
+    C.work_of("one")
+    assert one == {"a": 1}
+    C.work_of("two")
+    two["b"] = 2
+    assert one == {} and C.kept_tables("two") == {"b": 2}

@@ -53,7 +53,7 @@ def test_equals_brute_force(spark):
 def test_slices_do_not_matter(monkeypatch):
     rows = pa.array(texts())
     whole = Q.figures_of(rows, Q.NGRAM_LIMITS, (0.2, 0.3), 20)
-    monkeypatch.setattr("kurzwerk.llm.common.SLICE_BYTES", 64)
+    monkeypatch.setattr("kurzwerk.llm.quality.FINE_SLICE_BYTES", 64)
     cut = Q.figures_of(rows, Q.NGRAM_LIMITS, (0.2, 0.3), 20)
     assert all((whole[k] == cut[k]).all() for k in whole)
 
