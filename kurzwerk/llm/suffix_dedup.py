@@ -346,19 +346,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found, held = with_spans(docs, length)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = batch.column(held)
-        left = []
-        for r, text in enumerate(batch.column("text")):
-            if spans[r].values is None:
-                left.append(text.as_py())
-            else:
-                kept, _, _ = cut(text.as_buffer().to_pybytes(), spans[r].values)
-                left.append(kept.decode("utf-8", "ignore"))
-        columns = [pa.array(left, pa.string()) if c == "text" else batch.column(c) for c in names]
+        # Only texts that lose something become Python objects.
+        spans, texts = batch.column(held), batch.column("text")
+        cuts: list[bytes | None] = [None] * batch.num_rows
+        for r in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
+            kept, _, _ = cut(texts[r].as_buffer().to_pybytes(), spans[r].values)
+            cuts[r] = kept.decode("utf-8", "ignore").encode()
+        left = pc.coalesce(pa.array(cuts, pa.binary()).cast(texts.type), texts)
+        columns = [left if c == "text" else batch.column(c) for c in names]
         if "n_chars" in names:
-            sizes = pa.array([len(t) for t in left], pa.int64())
-            columns[names.index("n_chars")] = sizes.cast(batch.schema.field("n_chars").type)
+            kind = batch.schema.field("n_chars").type
+            columns[names.index("n_chars")] = pc.utf8_length(left).cast(kind)
         out = pa.RecordBatch.from_arrays(columns, names)
-        return out.filter(pa.array([bool(t) for t in left]))
+        return out.filter(pc.greater(pc.binary_length(left), 0))
 
     return map_batches(found.select(*names, held), step, docs.schema)
