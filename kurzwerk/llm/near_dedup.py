@@ -36,6 +36,8 @@ PIVOTS = 8
 PIVOT_ROUNDS = 2
 #: Ratio of neighbouring size classes of the exact join.
 SIZE_STEP = 1.02
+#: Cells (a power of two) of the sketch of counts that ranks shingles in the exact join.
+RARITY_BITS = 16
 #: Holders of a shingle from which the exact join deals them into several parts.
 HOT_UNIT = 1000
 #: Share of equal coordinates below which a pair is not verified: 4.6 standard deviations
@@ -327,38 +329,86 @@ def pivot_pairs(large: DataFrame, number: int) -> DataFrame:
     return met.filter("label <> p.label").select("digest", F.col("p.digest").alias("other"))
 
 
+def cells_of(units: np.ndarray) -> np.ndarray:
+    """The cell of the count sketch that a unit falls into."""
+    return (mix(units.view(np.uint64)) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def unit_counts(sets: DataFrame) -> np.ndarray:
+    """How many units of all sets fall into each cell of a sketch of fixed size.
+
+    Counted over batches in tasks, added up by Spark; only the sketch reaches the driver.
+    """
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.bincount(cells_of(batch.column("units").flatten().to_numpy()), minlength=1 << RARITY_BITS)
+        cells = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
+
+    found = map_batches(sets.select("units"), step, "cell bigint, n bigint")
+    found = found.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[found["cell"]] = found["n"]
+    return counts
+
+
+def rare_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """The units of every set that a pair of ``similarity`` cannot do without, rarest first.
+
+    Of n units these are the first n - s * n + 1 in one order for all sets (by the count
+    of their cell, then by value); any such order is exact, a rarer one joins less.
+    """
+    counts = unit_counts(sets)
+
+    def first_units(batch: pa.RecordBatch) -> pa.RecordBatch:
+        units = batch.column("units")
+        flat = units.flatten().to_numpy()
+        sizes = units.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((flat, counts[cells_of(flat)], row))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        needed = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
+        kept = place < needed[row]
+        row, place = row[kept], place[kept]
+        columns = [batch.column(c).take(pa.array(row)) for c in ("digest", "label", "rest")]
+        columns += [pa.array(sizes[row], pa.int64()), pa.array(place, pa.int64()), pa.array(flat[order][kept])]
+        return pa.RecordBatch.from_arrays(columns, ["digest", "label", "rest", "n", "place", "unit"])
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ends = np.cumsum(batch.column("units").value_lengths().to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(ends // FINE_SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+        return pa.concat_batches([first_units(batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
+    schema = "digest binary, label binary, rest boolean, n bigint, place bigint, unit bigint"
+    return map_batches(sets.select("digest", "label", "rest", "units"), step, schema)
+
+
 def exact_pairs(large: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
     """All pairs of different components that can be ``similarity`` alike, in large buckets.
 
     Sets of n and m units that alike share at least o = s / (1 + s) * (n + m), so their
-    n - o + 1 and m - o + 1 rarest units have one in common. Size classes hold m within
-    narrow bounds, which keeps units that all texts of a family share out of the join. A
-    pair has a member outside of its bucket's largest component, and only these ask.
+    n - o + 1 and m - o + 1 rarest units have one in common. Only these leave the sets'
+    rows. Size classes hold m within narrow bounds, which keeps units that all texts of a
+    family share out of the join. A pair has a member outside of its bucket's largest
+    component, and only these ask.
     """
     share = similarity / (1 + similarity)
     parts = large.groupBy("key", "label").agg(F.count("*").alias("c"))
     most = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("most"))
     roles = large.join(most, "key").groupBy("digest", "label").agg(F.max(F.col("label") != F.col("most")).alias("rest"))
     sets = stored(units.join(roles, "digest"), "exact-sets")
-    flat = sets.select("digest", "label", F.explode("units").alias("unit"))
-    known = flat.groupBy("unit").agg(
-        F.count("*").alias("holders"), (F.min("label") != F.max("label")).alias("mixed")
+    flat = stored(rare_prefixes(sets, similarity), "exact-units")
+    mixed = flat.groupBy("unit").agg(
+        F.count("*").alias("holders"), F.min("label").alias("x"), F.max("label").alias("y")
     )
-    known = stored(known.filter("holders > 1"), "exact-units")
-    if fit_for_broadcast(known, BROADCAST_KEYS):
-        known = F.broadcast(known)
-    told = flat.select("digest", "unit").join(known, "unit", "left")
-    rare = F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "unit", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    ranked = told.groupBy("digest").agg(F.sort_array(F.collect_list(rare)).alias("rare"))
+    mixed = stored(mixed.filter("x <> y").select("unit", "holders"), "exact-mixed")
+    if fit_for_broadcast(mixed, BROADCAST_KEYS):
+        mixed = F.broadcast(mixed)
     n = F.col("n")
     least = lambda m: F.ceil(F.lit(share) * (n + m) - 1e-6)
     level = F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
     reach = math.ceil(-math.log(similarity) / math.log(SIZE_STEP)) + 1
-    ranked = ranked.withColumn("n", F.size("rare")).join(sets.select("digest", "label", "rest"), "digest")
-    placed = ranked.select(
-        "digest", "label", "rest", "n", level.alias("level"),
-        F.posexplode(F.slice("rare", 1, (n - least(n * similarity) + 1).cast("int"))).alias("place", "u"),
-    ).filter("u.mixed")
+    placed = flat.join(mixed, "unit").withColumn("level", level)
     # The smallest size of a class, with room for rounding at its edge.
     lowest = lambda c: F.floor(F.pow(F.lit(SIZE_STEP), c) * (1 - 1e-9))
     partner = F.filter(
@@ -366,8 +416,8 @@ def exact_pairs(large: DataFrame, units: DataFrame, similarity: float) -> DataFr
         lambda c: F.col("place") <= n - least(F.greatest(lowest(c), F.floor(n * similarity))),
     )
     held = placed.select(
-        "digest", "label", "rest", "n", "level", "place", F.col("u.unit").alias("unit"),
-        F.ceil(F.col("u.holders") / HOT_UNIT).cast("int").alias("parts"), F.explode(partner).alias("other_level"),
+        "digest", "label", "rest", "n", "level", "place", "unit",
+        F.ceil(F.col("holders") / HOT_UNIT).cast("int").alias("parts"), F.explode(partner).alias("other_level"),
     )
     held = stored(held, "exact-prefixes")
     asking = held.filter("rest").withColumn("part", F.pmod(F.xxhash64("digest"), "parts").cast("int"))
