@@ -83,7 +83,8 @@ class WordIds:
 
     The ids of a text are those of its words, one after another, so each distinct word
     is encoded once and remembered. Unknown words go to the library many at a time, as
-    one text that is split already; it tells whose each id is.
+    one text that is split already; it tells whose each id is. When the memory is full,
+    words that did not occur since it was half full are dropped.
     """
 
     def __init__(self, path: str):
@@ -95,29 +96,54 @@ class WordIds:
     def forget(self) -> None:
         #: Number of a word; its ids are flat[starts[number] : starts[number + 1]].
         self.number: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.starts = np.zeros(CACHE_WORDS + 1, np.int64)
+        self.seen = np.zeros(CACHE_WORDS, bool)
+
+    def remember(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Append words; the buffers grow to twice their size when they are full."""
+        known = len(self.number)
+        if known < CACHE_WORDS // 2 <= known + len(words):
+            self.seen[:known] = False
+        if known + len(words) >= len(self.starts):
+            more = known + len(words) + 1 - len(self.starts)
+            self.starts = np.concatenate([self.starts, np.zeros(more, np.int64)])
+            self.seen = np.concatenate([self.seen, np.zeros(more, bool)])
+        first = self.starts[known]
+        if first + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
+        self.flat[first : first + len(ids)] = ids
+        self.starts[known + 1 : known + 1 + len(words)] = first + np.cumsum(sizes)
+        self.number.update(zip(words, range(known, known + len(words))))
+
+    def drop_unseen(self) -> None:
+        words = [w for w, k in self.number.items() if self.seen[k]]
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        first, sizes = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        ids = ragged_take(self.flat, first, sizes)
+        self.forget()
+        if len(words) <= CACHE_WORDS // 2:
+            self.remember(words, sizes, ids)
 
     def encode_words(self, words: list[str]) -> None:
         parts = [words[k : k + JOINED_WORDS] for k in range(0, len(words), JOINED_WORDS)]
         encoded = self.tokenizer.encode_batch(parts, is_pretokenized=True, add_special_tokens=False)
-        flat, sizes = [self.flat], [np.zeros(0, np.int64)]
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for part, done in zip(parts, encoded):
             flat.append(np.array(done.ids, np.uint32))
             sizes.append(np.bincount(np.array(done.word_ids, np.int64), minlength=len(part)))
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.flat = np.concatenate(flat)
-        ends = self.starts[-1] + np.cumsum(np.concatenate(sizes))
-        self.starts = np.concatenate([self.starts, ends])
+        self.remember(words, np.concatenate(sizes), np.concatenate(flat))
 
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words, codes, at = coded_words(data, offsets, caseless=True)
         if len(self.number) + len(words) > CACHE_WORDS:
-            self.forget()
+            self.drop_unseen()
         self.encode_words([w for w in words if w not in self.number])
         numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        first = self.starts[numbers][codes]
-        sizes = self.starts[numbers + 1][codes] - first
+        self.seen[numbers] = True
+        first = self.starts[numbers]
+        sizes = (self.starts[numbers + 1] - first)[codes]
+        first = first[codes]
         ends = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(sizes, out=ends[1:])
         return ragged_take(self.flat, first, sizes), ends[at]

@@ -7,6 +7,10 @@ import pyarrow as pa
 
 from kurzwerk.llm.common import strings_between
 
+#: ASCII letters and digits, and ASCII signs but for those of special tokens.
+LETTER = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+SIGN = np.array([32 < c < 127 and not chr(c).isalnum() and chr(c) not in "<|>_" for c in range(256)])
+
 
 def coded_words(
     data: np.ndarray, offsets: np.ndarray, line_feed: bool = True, caseless: bool = False
@@ -15,25 +19,28 @@ def coded_words(
 
     A word is a run without space (and line feed, if it parts words) together with
     those after it, so that the words of a row are exactly its bytes. Blanks at the
-    start of a row are a word. For a tokenizer that ignores case and parts letters from
-    stops, ``caseless`` makes far fewer words distinct: their first ASCII letter is put
-    in lower case, and a stop or comma behind an ASCII letter starts a word.
+    start of a row are a word. For a tokenizer that ignores case, drops blanks and parts
+    letters, single digits and signs, ``caseless`` makes far fewer words distinct: blanks
+    belong to the word behind them, whose first ASCII letter is put in lower case, and
+    behind a letter or digit (ASCII, or a letter of Latin-1) an ASCII sign starts a word.
+    Signs that special tokens are written with do not.
     """
     gap = data == 32
     if line_feed:
         gap |= data == 10
     start = np.zeros(len(data), bool)
-    start[1:] = gap[:-1] & ~gap[1:]
+    start[1:] = gap[1:] & ~gap[:-1] if caseless else gap[:-1] & ~gap[1:]
     if caseless:
-        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-        start[1:] |= ((data[1:] == 44) | (data[1:] == 46)) & letter[:-1]
+        start[1:] |= SIGN[data[1:]] & LETTER[data[:-1]]
+        # 0xC3 begins letters of two bytes, but for the signs of times and division.
+        latin = (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+        start[2:] |= SIGN[data[2:]] & latin
     start[offsets[offsets < len(data)]] = True
     cuts = np.append(np.flatnonzero(start), len(data))
     if caseless:
-        data = data.copy()
-        first = cuts[:-1]
-        capital = first[(data[first] >= 65) & (data[first] <= 90)]
-        data[capital] += 32
+        first = start[: len(data)].copy()
+        first[1:] |= gap[:-1]
+        data = data + np.uint8(32) * (first & (data >= 65) & (data <= 90))
     coded = strings_between(data, cuts).dictionary_encode()
     words = coded.dictionary.cast(pa.large_string()).to_pylist()
     return words, coded.indices.to_numpy(), np.searchsorted(cuts[:-1], offsets)

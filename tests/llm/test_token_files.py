@@ -23,6 +23,23 @@ def test_ids_equal_the_library():
     assert [i.tolist() for i in T.word_ids(PATH).encode(pa.array(ROWS))] == [library(t) for t in ROWS]
 
 
+def test_words_parted_before_signs_and_blanks_give_the_library_ids():
+    rows = ["Été,l'été's 3.5%%% don't. (x)*** É×,a÷. <|endoftext|>,", " A  B\n\nC. D", "Σ.a a.Σ ΑΣ, x_y e\u0301. a\u0301,b 7\u0301.",
+            "it's'S 'll. a'.s 'store a<b>c|d ñ!?", "3,4a5.b", "x\u00a0.y\u2014.z", " ", ".", "A"]
+    assert [i.tolist() for i in T.WordIds(PATH).encode(pa.array(rows))] == [library(t) for t in rows]
+
+
+def test_a_full_memory_drops_words_that_did_not_come_again(monkeypatch):
+    monkeypatch.setattr(T, "CACHE_WORDS", 60)
+    words = T.WordIds(PATH)
+    for k in range(0, 300, 20):
+        rows = [" ".join(["often", *(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(k, k + 20))]), None]
+        assert [i.tolist() for i in words.encode(pa.array(rows))] == [library(t) for t in rows]
+        assert len(words.number) <= 60
+    rows = [" ".join(f"x{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(200))]
+    assert [i.tolist() for i in words.encode(pa.array(rows))] == [library(t) for t in rows]
+
+
 def test_files_hold_ascending_documents(spark):
     docs = frame(spark, ROWS).union(frame(spark, ["null id"]).selectExpr("null", "text", "n", "key", "row"))
     got = T.roundtrip(spark, docs.repartition(3), PATH).collect()
