@@ -8,7 +8,6 @@ P(word | type) for words within a type.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -69,6 +68,22 @@ def type_of(word: bytes, types: int) -> int:
     return h % types
 
 
+def types_of(words: pa.Array, types: int) -> np.ndarray:
+    """``type_of`` for all of an array of binary words."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset)
+    ends, sizes = offsets[1:], np.diff(offsets)
+    h = np.zeros(len(words), np.int64)
+    if data is None or not data.size:
+        return h
+    data = np.frombuffer(data, np.uint8)
+    for back in (3, 2, 1):
+        byte = data[np.maximum(ends - back, 0)].astype(np.int64)
+        h = np.where(sizes >= back, (h * 257 + byte + 1) % 1_000_003, h)
+    return h % types
+
+
 def held_out(doc_id) -> "F.Column":
     """Rows whose doc_id, as text, has a remainder of 2; a null id is an empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
@@ -94,14 +109,18 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What tasks need to turn texts into items: bounded by the settings."""
+    """What tasks need to turn texts into items: bounded by the settings.
+
+    The end is item 0, the most frequent words follow by rank, types come last.
+    """
 
     settings: Settings
     total: int
     distinct: int
-    #: Item of the words that have one; the end is item 0, types come last.
-    items: dict[bytes, int] = field(default_factory=dict)
-    near: dict[bytes, int] = field(default_factory=dict)
+    ends: int
+    #: Rank of the near words, from the most frequent one; and their counts.
+    rank: dict[bytes, int] = field(default_factory=dict)
+    count: np.ndarray | None = None
     type_tokens: np.ndarray | None = None
     type_words: np.ndarray | None = None
 
@@ -109,22 +128,25 @@ class Vocabulary:
     def n_items(self) -> int:
         return 1 + self.settings.item_words + self.settings.types
 
-    def item_of(self, word: bytes) -> int:
-        item = self.items.get(word)
-        if item is None:
-            item = 1 + self.settings.item_words + type_of(word, self.settings.types)
-        return item
+    @property
+    def n_own(self) -> int:
+        """How many words are items of their own."""
+        return min(self.settings.item_words, len(self.rank))
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """Rank of every word, -1 beyond the near ones."""
+        rank = self.rank
+        return np.fromiter((rank.get(w, -1) for w in words), np.int64, len(words))
 
     def base(self, count):
         return np.log10((count + 1.0) / (self.total + self.distinct + 1.0))
 
-    def within_type(self, kind: int, count: int) -> float:
+    def within_type(self, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 P(word | type); all unseen words of a type are one event."""
-        tokens, words = self.type_tokens[kind], self.type_words[kind]
+        tokens, words = self.type_tokens[kinds], self.type_words[kinds]
         d = self.settings.discount
-        if not tokens:
-            return 0.0
-        return math.log10((count - d) / tokens if count else max(d * words, d) / tokens)
+        mass = np.where(counts > 0, counts - d, np.maximum(d * words, d))
+        return np.where(tokens > 0, np.log10(mass / np.maximum(tokens, 1)), 0.0)
 
 
 def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -147,25 +169,25 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 
 def vocabulary_of(counts: DataFrame, settings: Settings) -> Vocabulary:
-    size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    out = Vocabulary(settings, int(size.n or 0), int(size.v))
-    near = frequent_words(counts.filter(F.octet_length("word") > 0), settings.near_words)
-    out.near = near
-    top = sorted(near, key=lambda w: (-near[w], w))[: settings.item_words]
-    out.items = {END.encode(): 0} | {w: k for k, w in enumerate(top, 1)}
-    out.near[END.encode()] = int(
-        counts.filter(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    )
-    known = set(top) | {END.encode()}
+    is_end = F.octet_length("word") == 0
+    size = counts.agg(
+        F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(is_end, F.col("n"))).alias("e")
+    ).first()
+    near = frequent_words(counts.filter(~is_end), settings.near_words)
+    ordered = sorted(near, key=lambda w: (-near[w], w))
+    out = Vocabulary(settings, int(size.n or 0), int(size.v), int(size.e or 0))
+    out.rank = {w: k for k, w in enumerate(ordered)}
+    out.count = np.fromiter((near[w] for w in ordered), np.int64, len(ordered))
+    own = set(ordered[: settings.item_words]) | {END.encode()}
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column("word")
+        other = np.fromiter((w not in own for w in words.to_pylist()), bool, len(words))
+        kinds = types_of(words, settings.types)[other]
+        n = batch.column("n").to_numpy()[other]
+        distinct = np.bincount(kinds, minlength=settings.types)
         tokens = np.zeros(settings.types, np.int64)
-        distinct = np.zeros(settings.types, np.int64)
-        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-            if word not in known:
-                kind = type_of(word, settings.types)
-                tokens[kind] += n
-                distinct[kind] += 1
+        np.add.at(tokens, kinds, n)
         held = np.flatnonzero(distinct)
         columns = [pa.array(held), pa.array(tokens[held]), pa.array(distinct[held])]
         return pa.RecordBatch.from_arrays(columns, ["kind", "tokens", "words"])
@@ -194,26 +216,26 @@ def as_items(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = shared.value
-        near, n_words = v.near, v.settings.item_words
+        n_own, first_type = v.n_own, 1 + v.settings.item_words
+        counts = np.append(v.count, 0)
         lists, known, base, within, far_words, far_counts, far_at = [], [], [], [], [], [], [0]
         for _, _, data, offsets in slices(batch.column("text")):
             words, codes, at = token_slice(data, offsets)
+            kinds = types_of(words, v.settings.types)
             words = words.to_pylist()
-            item = np.fromiter(map(v.item_of, words), np.int32, len(words))
-            count = np.fromiter((near.get(w, -1) for w in words), np.int64, len(words))
-            inside = np.zeros(len(words))
-            for k in np.flatnonzero((count >= 0) & (item > n_words)):
-                inside[k] = v.within_type(int(item[k]) - 1 - n_words, int(count[k]))
-            is_near = count >= 0
-            figure = np.where(is_near, v.base(np.maximum(count, 0)), 0.0)
+            rank = v.ranks(words)
+            is_near, own = rank >= 0, (rank >= 0) & (rank < n_own)
+            item = np.where(own, rank + 1, first_type + kinds).astype(np.int32)
+            count = counts[rank]
+            inside = np.where(is_near & ~own, v.within_type(kinds, count), 0.0)
+            figure = np.where(is_near, v.base(count), 0.0)
             sums = [
                 np.concatenate([[0], np.cumsum(x[codes])])
                 for x in (is_near.astype(np.int64), figure, inside)
             ]
             a, b = at[:-1], at[1:]
-            end = near[END.encode()]
-            known.append(sums[0][b] - sums[0][a] + (end > 0))
-            base.append(sums[1][b] - sums[1][a] + v.base(end))
+            known.append(sums[0][b] - sums[0][a] + (v.ends > 0))
+            base.append(sums[1][b] - sums[1][a] + v.base(v.ends))
             within.append(sums[2][b] - sums[2][a])
             ids = np.insert(item[codes], b, 0)
             lists.append(pa.ListArray.from_arrays(pa.array(at + np.arange(len(at)), pa.int32()), pa.array(ids)))
@@ -327,9 +349,8 @@ def first_classes(vocabulary: Vocabulary) -> np.ndarray:
     """Classes by the last bytes of a word, before any exchange."""
     s = vocabulary.settings
     out = np.zeros(vocabulary.n_items, np.int64)
-    for word, item in vocabulary.items.items():
-        if item:
-            out[item] = 1 + type_of(word, s.types) % (s.classes - 1)
+    own = pa.array(list(vocabulary.rank)[: vocabulary.n_own], pa.large_binary())
+    out[1 : 1 + len(own)] = 1 + types_of(own, s.types) % (s.classes - 1)
     at = 1 + s.item_words
     out[at:] = 1 + np.arange(s.types) % (s.classes - 1)
     return out
@@ -399,8 +420,7 @@ def far_figures(items: DataFrame, counts: DataFrame, vocabulary: Vocabulary) ->
         v = shared.value
         times = batch.column("times").to_numpy()
         n = batch.column("n").to_numpy()
-        kinds = [type_of(w, v.settings.types) for w in batch.column("word").to_pylist()]
-        inside = np.fromiter(map(v.within_type, kinds, n.tolist()), float, len(n))
+        inside = v.within_type(types_of(batch.column("word"), v.settings.types), n)
         columns = [batch.column("row"), pa.array(np.where(n > 0, times, 0))]
         columns += [pa.array(times * v.base(n)), pa.array(times * inside)]
         return pa.RecordBatch.from_arrays(columns, ["row", "known", "base", "inside"])
