@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kurzwerk import params as P
 from kurzwerk.checks.queries import ARTICLE_CHARS, MAX, MODEL_TOKENS, OVERLAP, UPLOAD_PARAMS
+from kurzwerk.checks.stems import stem_ctes
 from kurzwerk.operators.summarize import EXTRACTIVE
 
 SPACE = "(chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ')"
@@ -324,6 +325,27 @@ tokens AS (
 )"""
 
 
+def stemmed_side(side: str) -> str:
+    return f"""
+stemmed_{side} AS (
+  SELECT pair_id, list(w ORDER BY i) AS {side}
+  FROM (SELECT pair_id, unnest({side}) AS word, unnest(range(len({side}))) AS i FROM plain_tokens)
+  JOIN stems USING (word) GROUP BY pair_id
+)"""
+
+
+STEMMED_TOKENS = f"""
+{ROUGE_TOKENS.replace('tokens AS', 'plain_tokens AS', 1)},
+vocabulary AS (
+  SELECT unnest(r) AS word FROM plain_tokens UNION SELECT unnest(c) FROM plain_tokens
+),
+{stem_ctes('vocabulary')}, {stemmed_side('r')}, {stemmed_side('c')},
+tokens AS (
+  SELECT pair_id, coalesce(a.r, []) AS r, coalesce(b.c, []) AS c
+  FROM pairs LEFT JOIN stemmed_r a USING (pair_id) LEFT JOIN stemmed_c b USING (pair_id)
+)"""
+
+
 def gram_ctes(n: int) -> str:
     """``overlap{n}(pair_id, overlap, reference, candidate)``."""
 
@@ -532,6 +554,10 @@ FROM (SELECT pair_id, {covered('candidate', 'reference')} AS covered,
         "rouge1": f"WITH {TURN_PAIRS}, {ROUGE_TOKENS}, {gram_ctes(1)} {prf('overlap1', 'rouge1')}",
         "rouge2": f"WITH {TURN_PAIRS}, {ROUGE_TOKENS}, {gram_ctes(2)} {prf('overlap2', 'rouge2')}",
         "rouge_l": f"WITH RECURSIVE {TURN_PAIRS}, {ROUGE_TOKENS}, {LCS} {prf('overlapL', 'rougeL')}",
+        "rouge_stemmed": f"""
+WITH RECURSIVE {TURN_PAIRS}, {STEMMED_TOKENS}, {gram_ctes(1)}, {gram_ctes(2)}, {LCS}
+SELECT * FROM ({prf('overlap1', 'rouge1')}) JOIN ({prf('overlap2', 'rouge2')}) USING (pair_id)
+JOIN ({prf('overlapL', 'rougeL')}) USING (pair_id)""",
         "eval_detail": f"WITH RECURSIVE {detail_ctes()} SELECT * FROM detail",
         "detail_csv": f"WITH RECURSIVE {detail_ctes()} SELECT * FROM detail",
         "eval_report": REPORT,

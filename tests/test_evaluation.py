@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from kurzwerk.functions import overlap as O
 from kurzwerk.functions.lcs import by_bits, by_matches, lcs_length
+from kurzwerk.checks.stems import stem_ctes
+from kurzwerk.functions import stem as S
 from kurzwerk.functions.stem import stem
 from kurzwerk.operators import evaluation as E
 from kurzwerk.operators import rouge as R
@@ -154,6 +156,26 @@ def test_stems():
     assert {w: stem(w) for w in pairs} == pairs
 
 
+def test_stems_equal_those_of_sql():
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(11)
+    ends = (
+        " s es ies ss sses ed eed ied ing ings at bl iz y ational tional enci anci izer bli alli "
+        "entli eli ousli ization ation ator alism iveness fulness ousness aliti iviti biliti fulli "
+        "logi icate ative alize iciti ical ful ness al ance ence er ic able ible ant ement ment "
+        "ent ion sion tion ou ism ate iti ous ive ize e ll lle yly"
+    ).split(" ")
+    words = set(S.IRREGULAR) | {"abcd", "12ed", "x", "", "toys"} - {""}
+    for _ in range(40_000):
+        root = "".join(rng.choice("aeiouybcdlnrstwxz1") for _ in range(rng.randint(1, 6)))
+        words.add(root + "".join(rng.choices(ends, k=rng.randint(0, 2))))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE vocabulary AS SELECT unnest(?::VARCHAR[]) AS word", [sorted(words)])
+    got = dict(con.execute(f"WITH {stem_ctes('vocabulary')} SELECT word, w FROM stems").fetchall())
+    assert got.keys() == words
+    assert [(w, got[w], stem(w)) for w in sorted(words) if got[w] != stem(w)] == []
+
+
 def example_rows(spark):
     rows = [(i, f"The cat number {i} sat. It ran away quickly. " * 3, "The cat sat.") for i in range(12)] + [(99, "", "x")]
     return spark.createDataFrame(rows, "example_id int, article string, reference string")
