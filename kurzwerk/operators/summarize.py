@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kurzwerk import params as P
 from kurzwerk.functions import text as X
+from kurzwerk.operators.model_process import ModelProcess, described
 from kurzwerk.params import Params
 
 EXTRACTIVE = "extractive-tf"
@@ -144,7 +145,7 @@ def run_model(model: Model, texts: list[str]) -> list[tuple]:
         return [(s, None, each) for s in summaries]
     except Exception as exc:  # noqa: BLE001 - any model error becomes a row value
         if len(texts) == 1:
-            detail = f"{P.MSG_MODEL_FAILED} {type(exc).__name__}: {exc}"
+            detail = f"{P.MSG_MODEL_FAILED} {described(exc)}"
             return [(None, detail, time.perf_counter() - started)]
     return [row for t in texts for row in run_model(model, [t])]
 
@@ -153,14 +154,22 @@ def run_model(model: Model, texts: list[str]) -> list[tuple]:
 LOADED: dict[str, Model | str] = {}
 
 
-def loaded(call: str, load: Callable[..., Model], limits: dict[str, int]) -> Model | str:
-    """The model of a call, loaded once per process; its error text if that fails."""
+def loaded(
+    call: str, load: Callable[..., Model], limits: dict[str, int], seconds: float | None
+) -> Model | str:
+    """The model of a call, loaded once per process; its error text if that fails.
+
+    With a time limit the model lives in a child process, which the next call ends.
+    """
     if call not in LOADED:
+        for old in LOADED.values():
+            if isinstance(old, ModelProcess):
+                old.close()
         LOADED.clear()
         try:
-            LOADED[call] = load(**limits)
+            LOADED[call] = load(**limits) if seconds is None else ModelProcess(load, limits, seconds)
         except Exception as exc:  # noqa: BLE001 - any error becomes a row value
-            LOADED[call] = f"{P.MSG_MODEL_FAILED} {type(exc).__name__}: {exc}"
+            LOADED[call] = f"{P.MSG_MODEL_FAILED} {described(exc)}"
     return LOADED[call]
 
 
@@ -191,7 +200,10 @@ def map_summarizer(
     texts, cut to ``params.model_input_tokens`` (``truncated`` tells). If ``load`` has
     parameters ``max_tokens`` and ``min_tokens``, it gets the limits of a summary.
     Errors, of loading too, become the ``error`` of their chunk; empty texts are
-    refused before the model. ``tasks`` scales this stage apart from the rest;
+    refused before the model. A call of the model that takes longer than
+    ``params.model_seconds`` is ended with its process; the texts of the batch are then
+    tried one by one, each with that limit, so only a text that hangs fails. None sets no
+    limit and keeps the model in the worker's own process. ``tasks`` scales this stage apart from the rest;
     ``carry`` names columns to hand through.
     """
     limits = {
@@ -204,7 +216,7 @@ def map_summarizer(
     def summarize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts = batch.to_pylist()
-            model = loaded(call, load, limits)
+            model = loaded(call, load, limits, params.model_seconds)
             rows: list[tuple] = [(None, P.MSG_EMPTY_REQUEST, 0.0)] * len(texts)
             given = [i for i, t in enumerate(texts) if t]
             for k in range(0, len(given), batch_size):

@@ -54,6 +54,8 @@ class Params:
     #: Cut of an article before a model that needs one; the published run cut at 4000.
     eval_article_chars: int | None = None
     eval_num_samples: int = 50
+    #: Time limit of a call of the model; None for no limit.
+    model_seconds: float | None = 180
     model_name: str = "facebook/bart-large-cnn"
 
     @property
@@ -72,6 +74,8 @@ class Params:
             given["max_summary_tokens"] = int(env["MAX_SUMMARY_TOKENS"])
         if "MIN_SUMMARY_TOKENS" in env:
             given["min_summary_tokens"] = int(env["MIN_SUMMARY_TOKENS"])
+        if "ML_SERVICE_TIMEOUT" in env:
+            given["model_seconds"] = int(env["ML_SERVICE_TIMEOUT"])
         if "SUMMARIZATION_MODEL" in env:
             given["model_name"] = env["SUMMARIZATION_MODEL"]
         return cls(**given)

@@ -1,5 +1,7 @@
 import random
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from models import model_covered, model_summary
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from kurzwerk.functions import text as X
 from kurzwerk.operators import metrics as M
 from kurzwerk.operators import summarize as S
+from kurzwerk.operators.model_process import ModelError, ModelProcess
 from kurzwerk.params import Params
 from kurzwerk.plans import summarise as PS
 
@@ -182,3 +185,72 @@ def test_the_extractive_summary_has_no_input_limit(spark):
     df = spark.createDataFrame([(1, 0, text)], "doc_id int, chunk_no int, chunk string")
     got = S.summarize_chunks(df, max_tokens=6000, min_tokens=1).first()
     assert got.summary == text and got.elapsed >= 0
+
+
+def hanging():
+    def load(max_tokens):
+        import os
+        import time
+
+        def model(texts):
+            print("printed by a model")
+            for t in texts:
+                if "hang" in t:
+                    time.sleep(3600)
+                if "die" in t:
+                    os._exit(3)
+                if "bad" in t:
+                    raise ValueError("refused")
+            return [f"{max_tokens} {t}" for t in texts]
+
+        return model
+
+    return load
+
+
+def test_a_model_that_hangs_on_one_text_fails_that_chunk_only(spark):
+    texts = [f"text {i}" for i in range(20)]
+    texts[3], texts[11], texts[17] = "hang here", "die here", "bad one"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, chunk string").coalesce(1)
+    params = Params(model_seconds=1.5, max_summary_tokens=9)
+    started = time.perf_counter()
+    rows = S.map_summarizer(df, hanging(), "m", ["doc_id"], tasks=1, params=params).collect()
+    assert time.perf_counter() - started < 60
+    by = {r.doc_id: r for r in rows}
+    assert {i for i, r in by.items() if r.error} == {3, 11, 17} and len(by) == 20
+    assert "no answer within 1.5 s" in by[3].error and by[3].elapsed >= 1.5
+    assert "exit code 3" in by[11].error and by[17].error.endswith("ValueError: refused")
+    assert all(r.summary == f"9 {texts[i]}" for i, r in by.items() if not r.error)
+
+
+def test_a_child_is_replaced_and_ended():
+    model = ModelProcess(hanging(), {"max_tokens": 1}, 1.0)
+    first = model.child
+    assert model(["a" * 3_000_000]) == ["1 " + "a" * 3_000_000] and model([]) == []
+    with pytest.raises(ModelError, match="TimeoutError"):
+        model(["hang"])
+    assert first.returncode == -9 and model.child is None
+    assert model(["b"]) == ["1 b"] and model.child.pid != first.pid
+    second = model.child
+    model.close()
+    assert second.returncode is not None
+    with pytest.raises(ModelError, match="KeyError"):
+        ModelProcess(lambda: {}["weights"], {}, 1.0)
+
+
+def test_time_limit_of_a_deployment_and_none():
+    assert Params().model_seconds == 180
+    assert Params.from_env({"ML_SERVICE_TIMEOUT": "7"}).model_seconds == 7
+
+
+def test_without_a_limit_the_model_stays_in_its_worker(spark):
+    def load():
+        import sys
+
+        return lambda texts: [sys.argv[0] for _ in texts]
+
+    df = spark.createDataFrame([(1, "x")], "doc_id int, chunk string")
+    for seconds in (None, 60):
+        params = Params(model_seconds=seconds)
+        place = S.map_summarizer(df, load, "m", ["doc_id"], params=params).first().summary
+        assert (place == "-c") == (seconds is not None)
