@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,10 +18,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first ``n`` rows in key order.
+    """The first ``n`` rows in key order, null keys first.
 
     A distributed top-n over the keys alone, then a semi-join, so that the rows
-    themselves never meet in one task. Rows that share the last key all count.
+    themselves never meet in one task. Of rows that share the last key only as many as
+    are left to take do, in the order of a hash of their columns.
     """
-    keys = df.select(key).orderBy(key).limit(n).distinct()
-    return df.join(keys, key, "left_semi")
+    first = df.select(F.col(key).alias("_key")).orderBy("_key").limit(n)
+    end = first.groupBy("_key").agg(F.count("*").alias("n")).orderBy(F.desc("_key")).first()
+    if end is None:
+        return df.limit(0)
+    last = F.lit(end["_key"])
+    tied = df.filter(F.col(key).eqNullSafe(last)).orderBy(F.xxhash64(*df.columns)).limit(end["n"])
+    keys = first.filter(~F.col("_key").eqNullSafe(last)).distinct()
+    before = df.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return before.unionAll(tied)

@@ -38,7 +38,7 @@ def test_reports_are_written_side_by_side(spark, tmp_path):
     report = E.evaluation_report(detail, model_name="größe")
     for _ in range(2):
         reports.write_evaluation(detail, report, str(tmp_path / "results"))
-    (file,) = glob.glob(str(tmp_path / "results.json" / "part-*"))
+    file = tmp_path / "results.json"
     raw = open(file, encoding="utf-8").read()
     assert "größe" in raw and json.loads(raw) == {**golden.REPORT, "model_name": "größe"}
     rows = [r for f in glob.glob(str(tmp_path / "results.csv" / "part-*")) for r in csv.DictReader(open(f))]
@@ -198,7 +198,7 @@ def test_the_default_is_named_timed_and_leaves_no_folder(spark, tmp_path, monkey
     monkeypatch.setattr(PE, "work_dir", lambda spark, purpose: str(tmp_path / purpose))
     report = PE.evaluate(example_rows(spark), "cats", str(tmp_path / "r")).first()
     assert (report.model_name, report.num_samples) == ("extractive-tf", 13)
-    (file,) = glob.glob(str(tmp_path / "r.json" / "part-*"))
+    file = tmp_path / "r.json"
     written = json.loads(open(file, encoding="utf-8").read())
     assert set(golden.REPORT) < set(written) and written["processing_time_seconds_mean"] is not None
     assert sorted(f.name for f in tmp_path.iterdir()) == ["r.csv", "r.json"]
@@ -241,3 +241,33 @@ def test_sample_is_the_first_rows_by_key(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     line = next(x for x in plan.splitlines() if "TakeOrderedAndProject" in x)
     assert "text" not in line
+
+
+def test_sample_takes_exactly_so_many_rows_where_keys_repeat(spark):
+    rows = [(None, "z"), (None, "y")] + [(i // 10, f"t{i}") for i in range(100)] + [(1, "t10")] * 3
+    df = spark.createDataFrame(rows, "id int, text string").repartition(7)
+    for n in (0, 1, 2, 5, 12, 17, 60, 1000):
+        got = corpus.sample(df, "id", n).collect()
+        assert len(got) == min(n, len(rows))
+        want = sorted(-1 if r[0] is None else r[0] for r in rows)[:n]
+        assert sorted(-1 if r.id is None else r.id for r in got) == want
+        again = corpus.sample(df.repartition(3), "id", n).collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    assert corpus.sample(df.limit(0), "id", 3).collect() == []
+
+
+def test_report_is_one_object_and_is_replaced_whole(spark, tmp_path):
+    one = spark.createDataFrame([("größe", None, 0.5)], "model_name string, note string, value double")
+    path = tmp_path / "new" / "r.json"
+    for value in (0.5, 0.25):
+        reports.write_report(one.withColumn("value", F.lit(value)), str(path))
+        text = path.read_text(encoding="utf-8")
+        assert text == '{\n  "model_name": "größe",\n  "note": null,\n  "value": %s\n}' % value
+    assert [f.name for f in path.parent.iterdir()] == ["r.json"]
+    for wrong in (one.limit(0), one.unionAll(one)):
+        with pytest.raises(ValueError, match="one row"):
+            reports.write_report(wrong, str(path))
+    assert reports.read_report(spark, str(path), one.schema).first().value == 0.25
+    reports.write_detail(one, str(tmp_path / "old.json"))
+    reports.write_report(one, str(tmp_path / "old.json"))
+    assert (tmp_path / "old.json").is_file()
