@@ -6,12 +6,18 @@ import functools
 import os
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kurzwerk.functions import text as X
+from kurzwerk.functions.batches import release, runs
+
+#: Bytes of text that the tokenizer library codes at a time; what it keeps of a text while
+#: it does takes a hundred times the text.
+CODED_BYTES = 1 << 18
 
 
 class TokenCounter(Protocol):
@@ -72,49 +78,51 @@ class Subwords:
     def __init__(self, path: str):
         self.path = path
 
-    def count(self, text: Column) -> Column:
-        path = self.path
+    def sizes(self, texts: pa.Array) -> pa.Array:
+        """Ids of every text of an array, in the worker; a null has none."""
+        sizes = np.zeros(len(texts), np.int32)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        for first, last in runs(lengths, CODED_BYTES):
+            if not lengths[first:last].any():
+                continue
+            batch = [t or "" for t in texts.slice(first, last - first).to_pylist()]
+            coded = load_tokenizer(self.path).encode_batch_fast(batch, add_special_tokens=False)
+            sizes[first:last] = [len(e) for e in coded]
+        return pa.array(sizes)
+
+    def parts(self, text: str, size: int) -> list[str]:
+        """The text of every ``size`` ids, in the worker."""
+        tokenizer = load_tokenizer(self.path)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        return [tokenizer.decode(ids[i : i + size]) for i in range(0, len(ids), size)]
 
+    def count(self, text: Column) -> Column:
         @F.arrow_udf("int")
         def subword_count(texts: pa.Array) -> pa.Array:
-            batch = [t or "" for t in texts.to_pylist()]
-            coded = load_tokenizer(path).encode_batch_fast(batch, add_special_tokens=False)
-            return pa.array([len(e.ids) for e in coded], pa.int32())
+            sizes = self.sizes(texts)
+            release()
+            return sizes
 
         return subword_count.asNondeterministic()(text)
 
     def counts(self, sentences: Column) -> Column:
-        path = self.path
-
         @F.arrow_udf("array<int>")
         def subword_counts(rows: pa.Array) -> pa.Array:
-            coded = load_tokenizer(path).encode_batch_fast(
-                rows.flatten().to_pylist(), add_special_tokens=False
-            )
-            sizes = pa.array([len(e.ids) for e in coded], pa.int32())
-            lengths = pc.fill_null(rows.value_lengths(), 0).cast(pa.int32())
-            ends = pc.cumulative_sum(lengths)
-            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            return pa.ListArray.from_arrays(offsets, sizes)
+            return like(rows, self.sizes(rows.flatten()))
 
         return subword_counts.asNondeterministic()(sentences)
 
     def pieces(self, sentences: Column, size: int) -> Column:
-        path = self.path
-
         @F.arrow_udf("array<array<string>>")
         def subword_pieces(rows: pa.Array) -> pa.Array:
-            tokenizer = load_tokenizer(path)
+            flat = [None if s is None else self.parts(s, size) for s in rows.flatten().to_pylist()]
+            return like(rows, pa.array(flat, pa.list_(pa.string())))
 
-            def cut(sentence):
-                if sentence is None:
-                    return None
-                ids = tokenizer.encode(sentence, add_special_tokens=False).ids
-                return [tokenizer.decode(ids[i : i + size]) for i in range(0, len(ids), size)]
+        return subword_pieces.asNondeterministic()(sentences)
 
-            return pa.array(
-                [[cut(s) for s in row] for row in rows.to_pylist()],
-                pa.list_(pa.list_(pa.string())),
-            )
 
-        return subword_pieces.asNondeterministic()(sentences)
+def like(rows: pa.Array, values: pa.Array) -> pa.Array:
+    """``values`` in lists as long as those of ``rows``; a null list is an empty one."""
+    lengths = pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)

@@ -6,12 +6,14 @@ from bisect import bisect_left
 from collections.abc import Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kurzwerk.functions import text as X
-from kurzwerk.functions.tokens import TokenCounter, Units
+from kurzwerk.functions.batches import release
+from kurzwerk.functions.tokens import TokenCounter, Units, like
 
 SLICES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("hard", pa.bool_())]))
 
@@ -39,6 +41,25 @@ def pack(counts: Sequence[int], max_tokens: int, overlap: int) -> list[tuple[int
     return slices
 
 
+def packed(rows: pa.Array, max_tokens: int, overlap: int) -> pa.Array:
+    """``pack`` of every row of a list array of token counts."""
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    ends, a, b, hard = [0], [], [], []
+    for begin, end in zip(at, at[1:]):
+        for first, last, single in pack(flat[begin:end].tolist(), max_tokens, overlap):
+            a.append(first)
+            b.append(last)
+            hard.append(single)
+        ends.append(len(a))
+    bounds = pa.StructArray.from_arrays(
+        [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(hard, pa.bool_())],
+        fields=list(SLICES.value_type),
+    )
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), bounds)
+
+
 def slice_bounds(counts: Column, max_tokens: int, overlap: int) -> Column:
     """``pack`` over an ARRAY<INT> column; only the integers travel to Python.
 
@@ -48,22 +69,38 @@ def slice_bounds(counts: Column, max_tokens: int, overlap: int) -> Column:
 
     @F.arrow_udf("array<struct<a:int,b:int,hard:boolean>>")
     def bounds(rows: pa.Array) -> pa.Array:
-        ends, a, b, hard = [0], [], [], []
-        for counts in rows.to_pylist():
-            for first, last, single in pack(counts, max_tokens, overlap):
-                a.append(first)
-                b.append(last)
-                hard.append(single)
-            ends.append(len(a))
-        flat = pa.StructArray.from_arrays(
-            [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(hard, pa.bool_())],
-            fields=list(SLICES.value_type),
-        )
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        return packed(rows, max_tokens, overlap)
 
     return bounds.asNondeterministic()(counts)
 
 
+def cuts_in_worker(
+    sentences: Column, counter: TokenCounter, max_tokens: int, overlap: int
+) -> Column:
+    """STRUCT(counts, slices, pieces) of a counter that works in Python, in one step.
+
+    Steps of their own would each hold a worker, with its tokenizer, next to the others.
+    """
+
+    @F.arrow_udf(
+        "struct<counts:array<int>,slices:array<struct<a:int,b:int,hard:boolean>>,"
+        "pieces:array<array<string>>>"
+    )
+    def cuts(rows: pa.Array) -> pa.Array:
+        flat = rows.flatten()
+        sizes = counter.sizes(flat)
+        counts = like(rows, sizes)
+        parts: list = [None] * len(flat)
+        for i in np.flatnonzero(sizes.to_numpy() > max_tokens).tolist():
+            parts[i] = counter.parts(flat[i].as_py(), max_tokens)
+        pieces = like(rows, pa.array(parts, pa.list_(pa.string())))
+        columns = [counts, packed(counts, max_tokens, overlap), pieces]
+        release()
+        return pa.StructArray.from_arrays(columns, ["counts", "slices", "pieces"])
+
+    return cuts.asNondeterministic()(sentences)
+
+
 def _texts(
     sentences: Column, counts: Column, pieces: Column, slices: Column, max_tokens: int
 ) -> Column:
@@ -96,25 +133,26 @@ def chunk_arrays(
     counter = counter or Units()
     none = F.array().cast("array<string>")
     is_long = F.col("_n") > max_tokens
-    return (
-        docs.select(*keys, F.col(text).alias("_text"), counter.count(F.col(text)).alias("_n"))
-        .withColumn("_s", F.when(is_long, X.sentences(F.col("_text"))).otherwise(none))
-        .withColumn("_c", counter.counts(F.col("_s")))
-        .withColumn("_b", slice_bounds(F.col("_c"), max_tokens, overlap_tokens))
-        .withColumn(
-            "_long",
-            F.zip_with("_s", "_c", lambda s, n: F.when(n > max_tokens, s)),
-        )
-        .withColumn("_p", counter.pieces(F.col("_long"), max_tokens))
-        .select(
-            *keys,
-            F.when(
-                is_long,
-                _texts(F.col("_s"), F.col("_c"), F.col("_p"), F.col("_b"), max_tokens),
-            )
-            .otherwise(F.array("_text"))
-            .alias("chunks"),
+    rows = docs.select(
+        *keys, F.col(text).alias("_text"), counter.count(F.col(text)).alias("_n")
+    ).withColumn("_s", F.when(is_long, X.sentences(F.col("_text"))).otherwise(none))
+    if hasattr(counter, "parts"):
+        cuts = cuts_in_worker(F.col("_s"), counter, max_tokens, overlap_tokens)
+        rows = rows.withColumn("_cuts", cuts)
+        c, b, p = (F.col(f"_cuts.{part}") for part in ("counts", "slices", "pieces"))
+    else:
+        rows = (
+            rows.withColumn("_c", counter.counts(F.col("_s")))
+            .withColumn("_b", slice_bounds(F.col("_c"), max_tokens, overlap_tokens))
+            .withColumn("_long", F.zip_with("_s", "_c", lambda s, n: F.when(n > max_tokens, s)))
+            .withColumn("_p", counter.pieces(F.col("_long"), max_tokens))
         )
+        c, b, p = F.col("_c"), F.col("_b"), F.col("_p")
+    return rows.select(
+        *keys,
+        F.when(is_long, _texts(F.col("_s"), c, p, b, max_tokens))
+        .otherwise(F.array("_text"))
+        .alias("chunks"),
     )
 
 

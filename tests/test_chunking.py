@@ -1,12 +1,14 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from models import check_slices
 from pyspark.sql import functions as F
 
+from kurzwerk.functions import tokens
 from kurzwerk.functions.tokens import Subwords
 from kurzwerk.operators import chunking as C
 
@@ -126,3 +128,25 @@ def test_subword_chunks_equal_brute_force(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     counted = df.select(Subwords(path).count(F.col("t"))).collect()
     assert [r[0] for r in counted] == [len(ids(t)) for t in texts]
+
+
+def test_subword_chunks_hold_two_workers_per_task(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    plan = C.chunk_arrays(docs, counter=Subwords("none.json"))._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("ArrowEvalPython") == 2
+
+
+def test_a_tokenizer_gets_bounded_batches(monkeypatch):
+    seen = []
+
+    class Words:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            seen.append(texts)
+            return [t.split() for t in texts]
+
+    monkeypatch.setattr(tokens, "load_tokenizer", lambda path: Words())
+    texts = ["wort " * (k % 300) for k in range(3000)] + ["lang " * 100_000, None, "", "ende"]
+    sizes = Subwords("some.json").sizes(pa.array(texts, pa.string()))
+    assert sizes.to_pylist() == [len((t or "").split()) for t in texts]
+    held = [sum(map(len, batch)) for batch in seen]
+    assert len(held) > 5 and sorted(held)[-2] <= tokens.CODED_BYTES and max(held) == 500_000

@@ -1,4 +1,7 @@
-from kurzwerk.session import remove_work, scale_settings, work_dir
+import pyarrow as pa
+
+from kurzwerk.functions.batches import BATCH_SETTING
+from kurzwerk.session import remove_work, scale_settings, ship_package, work_dir
 
 
 def test_blocks_of_a_shuffle_stay_bounded():
@@ -15,3 +18,19 @@ def test_work_folders_can_be_removed(spark, tmp_path):
     remove_work(spark, place)
     remove_work(spark, place)
     assert spark.range(1).count() == 1
+
+
+def test_batches_are_bounded_by_bytes_unless_the_session_says_otherwise(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "b": [batch.nbytes]})
+
+    session = spark.newSession()
+    session.conf.set(BATCH_SETTING, "3m")
+    ship_package(session)
+    assert session.conf.get(BATCH_SETTING) == "3m"
+    session.conf.unset(BATCH_SETTING)
+    ship_package(session)
+    rows = session.range(0, 4000, 1, 1).selectExpr("repeat('x', 10000) t")
+    got = rows.mapInArrow(sizes, "n long, b long").collect()
+    assert sum(r.n for r in got) == 4000 and max(r.b for r in got) <= 9 << 20
