@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 from kurzwerk import params as P
 from kurzwerk.functions import text as X
+from kurzwerk.functions.batches import release, runs
 from kurzwerk.operators.model_process import ModelProcess, described
 from kurzwerk.params import Params
 
 EXTRACTIVE = "extractive-tf"
 
 
+#: Words that are ranked at a time; a longer row is one step of its own.
+RANKED_WORDS = 1 << 17
+
 PICKS = pa.struct([("kept", pa.list_(pa.list_(pa.int32()))), ("elapsed", pa.float64())])
 
 
@@ -61,14 +65,31 @@ def kept_sentences(chunks: pa.Array, max_tokens: int, min_tokens: int) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), lists)
 
 
+def kept_in_runs(chunks: pa.Array, max_tokens: int, min_tokens: int) -> pa.Array:
+    """``kept_sentences`` over runs of rows of bounded size."""
+
+    def ends(lists: pa.Array) -> np.ndarray:
+        sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.cumsum(sizes)])
+
+    sentences = chunks.flatten()
+    words = ends(sentences.flatten())[ends(sentences)[ends(chunks)]]
+    parts = [
+        kept_sentences(chunks.slice(first, last - first), max_tokens, min_tokens)
+        for first, last in runs(np.diff(words), RANKED_WORDS)
+    ]
+    return pa.concat_arrays(parts) if parts else kept_sentences(chunks, max_tokens, min_tokens)
+
+
 def ranking(words: Column, max_tokens: int, min_tokens: int) -> Column:
     """STRUCT(kept, elapsed): ``kept_sentences`` and each row's share of the seconds."""
 
     @F.arrow_udf("struct<kept:array<array<int>>,elapsed:double>")
     def rank(chunks: pa.Array) -> pa.Array:
         started = time.perf_counter()
-        kept = kept_sentences(chunks, max_tokens, min_tokens)
+        kept = kept_in_runs(chunks, max_tokens, min_tokens)
         each = (time.perf_counter() - started) / max(len(chunks), 1)
+        release()
         return pa.StructArray.from_arrays(
             [kept, pa.array(np.full(len(chunks), each))], fields=list(PICKS)
         )

@@ -1,6 +1,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -254,3 +255,21 @@ def test_without_a_limit_the_model_stays_in_its_worker(spark):
         params = Params(model_seconds=seconds)
         place = S.map_summarizer(df, load, "m", ["doc_id"], params=params).first().summary
         assert (place == "-c") == (seconds is not None)
+
+
+def test_sentences_are_ranked_in_runs_of_bounded_size(monkeypatch):
+    rng = random.Random(5)
+
+    def chunk():
+        return [rng.choices("abcdefgh", k=rng.randint(0, 9)) for _ in range(rng.randint(0, 6))]
+
+    rows = [[chunk() for _ in range(rng.randint(0, 3))] for _ in range(200)] + [[[["x"] * 700, ["y"]]]]
+    lists = pa.array(rows, pa.list_(pa.list_(pa.list_(pa.string()))))
+    whole, seen, at_once = S.kept_sentences(lists, 8, 3), [], S.kept_sentences
+    monkeypatch.setattr(S, "RANKED_WORDS", 100)
+    monkeypatch.setattr(S, "kept_sentences", lambda part, *n: seen.append(part) or at_once(part, *n))
+    for begin, end in ((0, 201), (7, 90), (0, 0)):
+        part = lists.slice(begin, end - begin)
+        assert S.kept_in_runs(part, 8, 3).to_pylist() == whole.to_pylist()[begin:end]
+    words = [len(p.flatten().flatten().flatten()) for p in seen]
+    assert max(words) == 701 and sorted(words)[-2] <= 100
