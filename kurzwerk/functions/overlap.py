@@ -1,7 +1,7 @@
 """Shared n-grams and longest common subsequence of two token lists, pair by pair.
 
-One Arrow step: the tokens of a batch are coded by a dictionary once, both sides alike,
-and everything after that works on the codes.
+One Arrow step: the tokens of a run of pairs are coded by a dictionary once, both sides
+alike, and everything after that works on the codes.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kurzwerk.functions.batches import release, runs
 from kurzwerk.functions.lcs import lcs_length
 from kurzwerk.functions.stem import stem
 
+#: Tokens of both sides that are handled at a time; a longer pair is one step of its own.
+RUN_TOKENS = 1 << 17
+
 
 def coded(lists: Sequence[pa.Array], stemmed: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """(codes, row offsets) of columns of token lists under one dictionary; null is empty."""
@@ -72,6 +76,34 @@ def shared_grams(sides: list[tuple[np.ndarray, np.ndarray]], n: int, rows: int)
     return total
 
 
+def run_columns(
+    reference: pa.Array, candidate: pa.Array, orders: Sequence[int], longest: bool, stemmed: bool
+) -> list[np.ndarray]:
+    """The counts of ``overlap_counts`` for pairs that are held at a time, by column."""
+    sides = coded([reference, candidate], stemmed)
+    columns = [np.diff(offsets) for _, offsets in sides]
+    columns += [shared_grams(sides, n, len(reference)) for n in orders]
+    if longest:
+        (a, a_at), (b, b_at) = [(codes.tolist(), offsets.tolist()) for codes, offsets in sides]
+        columns.append(np.array([
+            lcs_length(a[i:j], b[k:m]) for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])
+        ], np.int64))
+    return columns
+
+
+def count_columns(reference: pa.Array, candidate: pa.Array, *how) -> list[np.ndarray]:
+    """``run_columns`` over runs of pairs of bounded size."""
+    sizes = sum(
+        pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for rows in (reference, candidate)
+    )
+    parts = [
+        run_columns(reference.slice(a, b - a), candidate.slice(a, b - a), *how)
+        for a, b in runs(sizes, RUN_TOKENS)
+    ]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else run_columns(reference, candidate, *how)
+
+
 def overlap_counts(
     reference: Column, candidate: Column, orders: Sequence[int], longest: bool, stemmed: bool
 ) -> Column:
@@ -85,16 +117,8 @@ def overlap_counts(
 
     @F.arrow_udf(f"struct<{','.join(f'{name}:bigint' for name in names)}>")
     def counts(reference: pa.Array, candidate: pa.Array) -> pa.Array:
-        sides = coded([reference, candidate], stemmed)
-        columns = [np.diff(offsets) for _, offsets in sides]
-        columns += [shared_grams(sides, n, len(reference)) for n in orders]
-        if longest:
-            lists = [(codes.tolist(), offsets.tolist()) for codes, offsets in sides]
-            (a, a_at), (b, b_at) = lists
-            columns.append([
-                lcs_length(a[i:j], b[k:m])
-                for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])
-            ])
+        columns = count_columns(reference, candidate, orders, longest, stemmed)
+        release()
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     return counts(reference, candidate)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import golden
 import numpy as np
+import pyarrow as pa
 import pytest
 from models import model_lcs, model_rouge
 from pyspark.sql import functions as F
@@ -271,3 +272,26 @@ def test_report_is_one_object_and_is_replaced_whole(spark, tmp_path):
     reports.write_detail(one, str(tmp_path / "old.json"))
     reports.write_report(one, str(tmp_path / "old.json"))
     assert (tmp_path / "old.json").is_file()
+
+
+def test_pairs_are_counted_in_runs_of_bounded_size(monkeypatch):
+    rng = random.Random(3)
+    words = ["running", "runs", "flies", "fly", "a", "b", "c"]
+
+    def column(n):
+        rows = [rng.choices(words, k=rng.randint(0, 12)) if rng.random() < 0.9 else None for _ in range(n)]
+        return pa.array([*rows, rng.choices(words, k=500)], pa.list_(pa.string()))
+
+    sides, seen, at_once = (column(300), column(300)), [], O.run_columns
+    whole = at_once(*sides, (1, 2), True, True)
+    monkeypatch.setattr(O, "RUN_TOKENS", 64)
+    monkeypatch.setattr(O, "run_columns", lambda a, b, *how: seen.append((a, b)) or at_once(a, b, *how))
+    for begin, end in ((0, 301), (5, 77), (0, 0)):
+        got = O.count_columns(*(side.slice(begin, end - begin) for side in sides), (1, 2), True, True)
+        assert [c.tolist() for c in got] == [c[begin:end].tolist() for c in whole]
+    tokens = [len(a.flatten()) + len(b.flatten()) for a, b in seen]
+    assert max(tokens) == 1000 and sorted(tokens)[-2] <= 64
+
+
+def test_the_memory_of_stems_is_small():
+    assert stem.cache_info().maxsize <= 1 << 16
