@@ -11,13 +11,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from kurzwerk.llm.common import kept_tables, map_batches, ragged_take, slices, strings_between
+from kurzwerk.functions.batches import release
+from kurzwerk.llm.common import (
+    FINE_SLICE_BYTES,
+    kept_tables,
+    map_batches,
+    ragged_take,
+    slices,
+    strings_between,
+)
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Endings that stay with their apostrophe, as the split pattern lists them.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pieces whose merges a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+#: Code points that are classed at a time.
+CLASSED_POINTS = 1 << 16
 
 
 @lru_cache(1)
@@ -30,14 +40,17 @@ def class_table() -> np.ndarray:
     import tiktoken
 
     single = {bytes([b]): b for b in range(256)}
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     table = np.full(0x110000, OTHER, np.uint8)
     for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
         probe = tiktoken.Encoding(
             "class", pat_str=pattern, mergeable_ranks=single, special_tokens={}
         )
-        members = bytes(probe.encode_ordinary(every)).decode("utf-8")
-        table[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
+        for first in range(0, len(table), CLASSED_POINTS):
+            points = range(first, first + CLASSED_POINTS)
+            every = "".join(chr(p) for p in points if not 0xD800 <= p < 0xE000)
+            members = bytes(probe.encode_ordinary(every)).decode("utf-8")
+            table[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
+    release()
     return table
 
 
@@ -227,7 +240,7 @@ def ranks_of(path: str) -> Ranks:
 def encode_texts(texts: pa.Array, path: str):
     """Per slice: (ids, id offsets, decimal ids joined by commas per row)."""
     ranks = ranks_of(path)
-    for _, _, data, offsets in slices(texts):
+    for _, _, data, offsets in slices(texts, FINE_SLICE_BYTES):
         ids, at, distinct, codes, piece_at = ranks.encode_slice(data, offsets)
         words = pa.array([",".join(map(str, x)) for x in distinct], pa.large_string())
         yield ids, at, joined(pc.take(words, pa.array(codes)), piece_at, ",")

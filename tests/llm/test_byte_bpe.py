@@ -54,3 +54,10 @@ def test_frames(spark, library):
         assert r.decoded_sha256 == hashlib.sha256((rows[r.doc_id] or "").encode()).hexdigest()
     back = B.decode(B.encode(df, PATH), PATH).collect()
     assert {r.doc_id: bytes(r.content).decode() for r in back} == {i: t or "" for i, t in enumerate(rows)}
+
+
+def test_long_batches_are_coded_in_small_steps(monkeypatch):
+    steps, at_once = [], B.Ranks.encode_slice
+    monkeypatch.setattr(B.Ranks, "encode_slice", lambda r, data, at: steps.append(len(data)) or at_once(r, data, at))
+    list(B.encode_texts(pa.array(["a few words " * 100] * 4000), PATH))
+    assert sum(steps) == 1200 * 4000 and max(steps) <= 1 << 19
