@@ -417,21 +417,24 @@ def exact_pairs(large: DataFrame, units: DataFrame, similarity: float) -> DataFr
     )
     held = placed.select(
         "digest", "label", "rest", "n", "level", "place", "unit",
-        F.ceil(F.col("holders") / HOT_UNIT).cast("int").alias("parts"), F.explode(partner).alias("other_level"),
+        F.ceil(F.col("holders") / HOT_UNIT).cast("int").alias("parts"),
     )
     held = stored(held, "exact-prefixes")
+    # Only the asking side is dealt over size classes; the other stands in its own, and
+    # the condition of the join looks at its place.
     asking = held.filter("rest").withColumn("part", F.pmod(F.xxhash64("digest"), "parts").cast("int"))
+    asking = asking.withColumn("other_level", F.explode(partner))
     asked = held.select(
         F.col("digest").alias("other"), F.col("label").alias("b_label"), F.col("rest").alias("b_rest"),
         F.col("n").alias("b_n"), F.col("place").alias("b_place"), "unit",
-        F.col("level").alias("other_level"), F.col("other_level").alias("level"),
+        F.col("level").alias("other_level"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
     )
     # What is left from the first shared unit on must do for both.
     left = F.least(n - F.col("place"), F.col("b_n") - F.col("b_place"))
     fits = (F.col("label") != F.col("b_label")) & (left >= least(F.col("b_n")))
     fits &= ~F.col("b_rest") | (F.col("digest") < F.col("other"))
-    return asking.join(asked, ["unit", "level", "other_level", "part"]).filter(fits).select("digest", "other")
+    return asking.join(asked, ["unit", "other_level", "part"]).filter(fits).select("digest", "other")
 
 
 def near_classes(

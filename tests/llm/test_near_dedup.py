@@ -121,3 +121,15 @@ def test_one_of_each(spark):
     assert kept.columns == ["doc_id", "text", "n", "key", "row"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(texts)))
     assert N.one_of_each(edge_rows(spark)).count() == 4
+
+
+def test_the_exact_join_holds_a_unit_once_per_text(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    tables, store = {}, N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: tables.setdefault(name, store(df, name)))
+    docs = frame(spark, family(40)).withColumn("digest", F.unhex(F.md5("text")))
+    large = docs.select(F.lit(1).alias("key"), "digest", F.col("digest").alias("label")).distinct()
+    N.exact_pairs(large, N.unit_sets(docs).dropDuplicates(["digest"]), 0.8)
+    held = tables["exact-prefixes"]
+    assert 0 < held.count() == held.select("digest", "unit").distinct().count()
