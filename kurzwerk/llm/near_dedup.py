@@ -38,6 +38,11 @@ PIVOT_ROUNDS = 2
 SIZE_STEP = 1.02
 #: Cells (a power of two) of the sketch of counts that ranks shingles in the exact join.
 RARITY_BITS = 16
+#: Bits per shingle of the map that tells which of them texts of several components hold,
+#: its largest size (a power of two, 16 MiB) and the bits that are counted together.
+MARKS_PER_UNIT = 16
+MOST_MARKS = 27
+BLOCK_BITS = 17
 #: Holders of a shingle from which the exact join deals them into several parts.
 HOT_UNIT = 1000
 #: Share of equal coordinates below which a pair is not verified: 4.6 standard deviations
@@ -352,32 +357,103 @@ def unit_counts(sets: DataFrame) -> np.ndarray:
     return counts
 
 
-def rare_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """The units of every set that a pair of ``similarity`` cannot do without, rarest first.
+def rarest(batch: pa.RecordBatch, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """(row, place, unit) of the units that a pair of ``similarity`` cannot do without.
 
     Of n units these are the first n - s * n + 1 in one order for all sets (by the count
     of their cell, then by value); any such order is exact, a rarer one joins less.
     """
+    units = batch.column("units")
+    flat = units.flatten().to_numpy()
+    sizes = units.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((flat, counts[cells_of(flat)], row))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    needed = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
+    kept = place < needed[row]
+    return row[kept], place[kept], flat[order][kept]
+
+
+def in_runs(batch: pa.RecordBatch, step) -> pa.RecordBatch:
+    """``step`` over runs of rows of bounded numbers of units."""
+    ends = np.cumsum(batch.column("units").value_lengths().to_numpy())
+    cuts = [0, *(np.flatnonzero(np.diff(ends // FINE_SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+    return pa.concat_batches([step(batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
+
+def mark_of(units: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a unit in a map of 2 ** ``bits``."""
+    return (mix(units.view(np.uint64) + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def mixed_marks(sets: DataFrame, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """(map, number of its bits as a power of two): what units of different labels fall on.
+
+    Only the units that ``rarest`` gives are looked at. A bit is set if two labels meet on
+    it, so no unit with holders of two labels is missed. The map grows with the units up to
+    2 ** MOST_MARKS bits; a full one sorts out less.
+    """
+    total = (1 - similarity) * int(counts.sum())
+    bits = min(max(math.ceil(math.log2(MARKS_PER_UNIT * total + 1)), BLOCK_BITS), MOST_MARKS)
+    block = 1 << BLOCK_BITS
+
+    def extremes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Per block: its bits in this run, with the least and largest label on them."""
+        row, _, unit = rarest(batch, counts, similarity)
+        labels = np.frombuffer(b"".join(x[:8] for x in batch.column("label").to_pylist()), np.int64)
+        mark, label = mark_of(unit, bits), labels[row]
+        order = np.lexsort((label, mark))
+        mark, label = mark[order], label[order]
+        first = np.flatnonzero(np.diff(mark, prepend=-1))
+        last = np.append(first[1:], len(mark))[: len(first)] - 1
+        mark, least, most = mark[first], label[first], label[last]
+        number = mark >> BLOCK_BITS
+        cuts = np.flatnonzero(np.diff(number, prepend=-1))
+        at = pa.array(np.append(cuts, len(mark)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (mark % block, least, most)]
+        return pa.RecordBatch.from_arrays([pa.array(number[cuts]), *lists], ["block", "mark", "least", "most"])
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return in_runs(batch, extremes)
+
+    def met(table: pa.Table) -> pa.Table:
+        least, most = np.full(block, np.iinfo(np.int64).max), np.full(block, np.iinfo(np.int64).min)
+        for batch in table.to_batches():
+            mark = batch.column("mark").flatten().to_numpy()
+            np.minimum.at(least, mark, batch.column("least").flatten().to_numpy())
+            np.maximum.at(most, mark, batch.column("most").flatten().to_numpy())
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": [np.packbits(least < most).tobytes()]})
+
+    schema = "block bigint, mark array<bigint>, least array<bigint>, most array<bigint>"
+    found = map_batches(sets.select("label", "units"), step, schema)
+    found = found.groupBy("block").applyInArrow(met, "block bigint, bits binary").collect()
+    marks = np.zeros((max(1 << bits >> BLOCK_BITS, 1), block >> 3), np.uint8)
+    for r in found:
+        marks[r.block] = np.frombuffer(r.bits, np.uint8)
+    return marks.reshape(-1), bits
+
+
+def rare_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """The units of every set that a pair of ``similarity`` cannot do without, rarest first.
+
+    Units that only sets of one label hold (most of the rare ones) join nothing and are
+    left out where they stand, but for those that share a bit with another label's.
+    """
     counts = unit_counts(sets)
+    marks, bits = mixed_marks(sets, counts, similarity)
 
     def first_units(batch: pa.RecordBatch) -> pa.RecordBatch:
-        units = batch.column("units")
-        flat = units.flatten().to_numpy()
-        sizes = units.value_lengths().to_numpy()
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((flat, counts[cells_of(flat)], row))
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        needed = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
-        kept = place < needed[row]
-        row, place = row[kept], place[kept]
+        row, place, unit = rarest(batch, counts, similarity)
+        mark = mark_of(unit, bits)
+        shared = (marks[mark >> 3] << (mark & 7).astype(np.uint8)) & 128 > 0
+        row, place, unit = row[shared], place[shared], unit[shared]
+        sizes = batch.column("units").value_lengths().to_numpy()
         columns = [batch.column(c).take(pa.array(row)) for c in ("digest", "label", "rest")]
-        columns += [pa.array(sizes[row], pa.int64()), pa.array(place, pa.int64()), pa.array(flat[order][kept])]
+        columns += [pa.array(sizes[row], pa.int64()), pa.array(place, pa.int64()), pa.array(unit)]
         return pa.RecordBatch.from_arrays(columns, ["digest", "label", "rest", "n", "place", "unit"])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ends = np.cumsum(batch.column("units").value_lengths().to_numpy())
-        cuts = [0, *(np.flatnonzero(np.diff(ends // FINE_SLICE_BYTES)) + 1).tolist(), batch.num_rows]
-        return pa.concat_batches([first_units(batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+        return in_runs(batch, first_units)
 
     schema = "digest binary, label binary, rest boolean, n bigint, place bigint, unit bigint"
     return map_batches(sets.select("digest", "label", "rest", "units"), step, schema)

@@ -133,3 +133,27 @@ def test_the_exact_join_holds_a_unit_once_per_text(spark, monkeypatch):
     N.exact_pairs(large, N.unit_sets(docs).dropDuplicates(["digest"]), 0.8)
     held = tables["exact-prefixes"]
     assert 0 < held.count() == held.select("digest", "unit").distinct().count()
+
+
+def test_units_of_one_label_stay_in_their_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    tables, store = {}, N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: tables.setdefault(name, store(df, name)))
+    docs = frame(spark, family(40)).withColumn("digest", F.unhex(F.md5("text")))
+    large = docs.select(F.lit(1).alias("key"), "digest", F.col("digest").alias("label")).distinct()
+    units = N.unit_sets(docs).dropDuplicates(["digest"])
+
+    def held():
+        tables.clear()
+        pairs = N.ordered(N.exact_pairs(large, units, 0.8)).collect()
+        rows = tables["exact-prefixes"].select("digest", "unit", "place", "n").collect()
+        return set(pairs), sorted(rows), tables["exact-units"].count()
+
+    pairs, rows, n = held()
+    assert len(rows) <= n <= 1.2 * len(rows)
+    # A map too small for the units lets more through and changes nothing else.
+    monkeypatch.setattr(N, "BLOCK_BITS", 8)
+    monkeypatch.setattr(N, "MOST_MARKS", 8)
+    small = held()
+    assert small[:2] == (pairs, rows) and small[2] > n
