@@ -38,6 +38,8 @@ PIVOT_ROUNDS = 2
 SIZE_STEP = 1.02
 #: Cells (a power of two) of the sketch of counts that ranks shingles in the exact join.
 RARITY_BITS = 16
+#: Cells that are added up together.
+COUNT_BLOCK = 1 << 13
 #: Bits per shingle of the map that tells which of them texts of several components hold,
 #: its largest size (a power of two, 16 MiB) and the bits that are counted together.
 MARKS_PER_UNIT = 16
@@ -330,8 +332,11 @@ def pivot_pairs(large: DataFrame, number: int) -> DataFrame:
     rest = large.join(most, "key").filter("label <> most")
     inner = rest.groupBy("key").agg(lowest[0].alias("one"))
     pivots = F.array(*[f"p{k}" for k in range(PIVOTS)], "one")
-    met = rest.join(inner, "key").select("digest", "label", F.explode(pivots).alias("p"))
-    return met.filter("label <> p.label").select("digest", F.col("p.digest").alias("other"))
+    text = F.transform(pivots, lambda p: F.struct(p["digest"].alias("digest"), p["label"].alias("label")))
+    # A text has the same pivots in many buckets; each leaves its row once.
+    met = rest.join(inner, "key").groupBy("digest", "label").agg(F.flatten(F.collect_set(text)).alias("met"))
+    apart = F.filter(F.array_distinct("met"), lambda p: p["label"] != F.col("label"))
+    return met.select("digest", F.explode(apart).alias("p")).select("digest", F.col("p.digest").alias("other"))
 
 
 def cells_of(units: np.ndarray) -> np.ndarray:
@@ -345,16 +350,30 @@ def unit_counts(sets: DataFrame) -> np.ndarray:
     Counted over batches in tasks, added up by Spark; only the sketch reaches the driver.
     """
 
+    cells = 1 << RARITY_BITS
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = np.bincount(cells_of(batch.column("units").flatten().to_numpy()), minlength=1 << RARITY_BITS)
-        cells = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
-
-    found = map_batches(sets.select("units"), step, "cell bigint, n bigint")
-    found = found.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << RARITY_BITS, np.int64)
-    counts[found["cell"]] = found["n"]
-    return counts
+        """Per block of cells: those that units of the batch fall into, and how many."""
+        counts = np.bincount(cells_of(batch.column("units").flatten().to_numpy()), minlength=cells)
+        cell = np.flatnonzero(counts)
+        number = cell // COUNT_BLOCK
+        cuts = np.flatnonzero(np.diff(number, prepend=-1))
+        at = pa.array(np.append(cuts, len(cell)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (cell % COUNT_BLOCK, counts[cell])]
+        return pa.RecordBatch.from_arrays([pa.array(number[cuts]), *lists], ["block", "cell", "n"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(COUNT_BLOCK, np.int64)
+        for batch in table.to_batches():
+            np.add.at(total, batch.column("cell").flatten().to_numpy(), batch.column("n").flatten().to_numpy())
+        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([total.tolist()])})
+
+    found = map_batches(sets.select("units"), step, "block bigint, cell array<bigint>, n array<bigint>")
+    found = found.groupBy("block").applyInArrow(added, "block bigint, n array<bigint>").collect()
+    counts = np.zeros((cells // COUNT_BLOCK, COUNT_BLOCK), np.int64)
+    for r in found:
+        counts[r.block] = r.n
+    return counts.reshape(-1)
 
 
 def rarest(batch: pa.RecordBatch, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:

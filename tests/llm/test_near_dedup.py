@@ -157,3 +157,11 @@ def test_units_of_one_label_stay_in_their_rows(spark, monkeypatch):
     monkeypatch.setattr(N, "MOST_MARKS", 8)
     small = held()
     assert small[:2] == (pairs, rows) and small[2] > n
+
+
+def test_a_text_meets_a_pivot_once_over_all_its_buckets(spark):
+    rows = [(key, bytes([d]), bytes([d // 4])) for key in range(3) for d in range(12)]
+    large = spark.createDataFrame(rows, "key bigint, digest binary, label binary")
+    met = [(bytes(r.digest), bytes(r.other)) for r in N.pivot_pairs(large, 1).collect()]
+    assert met and len(met) == len(set(met))
+    assert all(a[0] // 4 != b[0] // 4 for a, b in met)
