@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from kurzwerk.llm.common import (
     FINE_SLICE_BYTES,
     Rolling,
+    broadcast_up_to,
     fit_for_broadcast,
+    free_up_to,
     is_word_byte,
+    likely,
     map_batches,
     mix,
     slices,
@@ -24,10 +27,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 28 bands of 5 coordinates: a pair of similarity 0.8 shares none with odds of 1.5e-5.
 BANDS, ROWS = 28, 5
-#: Up to so many keys are broadcast (24 bytes each); beyond, the join is a shuffle.
-BROADCAST_KEYS = 2_000_000
-#: Up to so many labels (two digests each) are broadcast; beyond, the join is a shuffle.
-BROADCAST_LABELS = 1_000_000
+#: Up to so many rows (some 150 bytes each in the driver) are broadcast; beyond, the join
+#: is a shuffle.
+BROADCAST_KEYS = 100_000
 #: Buckets up to this size have all pairs of different components compared. In larger
 #: ones the members outside of the largest component meet ``PIVOTS`` texts of it and
 #: one of the others per round; an exact join then compares what is still apart.
@@ -221,8 +223,8 @@ def unit_sets(texts: DataFrame) -> DataFrame:
 def only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows whose key is among the (stored) keys."""
     if fit_for_broadcast(keys, BROADCAST_KEYS):
-        keys = F.broadcast(keys)
-    return rows.join(keys, on, "left_semi")
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    return likely(keys, on)(rows, on).join(keys.hint("merge"), on, "left_semi")
 
 
 def verified(
@@ -244,18 +246,13 @@ def verified(
     near = stored(near, f"pairs-{purpose}")
     needed = near.select(F.col("a").alias("digest")).union(near.select("b")).distinct()
     needed = only(units, stored(needed, f"texts-{purpose}"), "digest")
-    both = near.join(side(needed, "units", "a"), "a").join(side(needed, "units", "b"), "b")
+    both = free_up_to(near, BROADCAST_KEYS).join(side(needed, "units", "a"), "a").join(side(needed, "units", "b"), "b")
     shared = F.size(F.array_intersect("units_a", "units_b"))
     union = F.size("units_a") + F.size("units_b") - shared
     links = both.filter(shared >= F.lit(similarity) * union).select("a", "b")
     return stored(links, f"links-{purpose}")
 
 
-def counted(labels: DataFrame) -> DataFrame:
-    """Stored labels, to be broadcast where their number allows."""
-    return F.broadcast(labels) if fit_for_broadcast(labels, BROADCAST_LABELS) else labels
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links lead to, for nodes with links.
 
@@ -270,7 +267,7 @@ def components(links: DataFrame) -> DataFrame:
         "labels",
     )
     while True:
-        known = counted(labels)
+        known = broadcast_up_to(labels, BROADCAST_KEYS)
         heard = (
             both.join(known, both.b == known.node).groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("heard"))
@@ -278,7 +275,8 @@ def components(links: DataFrame) -> DataFrame:
         spread = heard.join(known, "node").select(
             "node", "label", F.least("label", "heard").alias("next")
         )
-        jump = counted(labels.select(F.col("node").alias("next"), F.col("label").alias("jumped")))
+        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jumped"))
+        jump = broadcast_up_to(jump, BROADCAST_KEYS)
         step = stored(
             spread.join(jump, "next", "left").select(
                 "node", F.least("next", F.coalesce("jumped", "next")).alias("label"),
@@ -292,7 +290,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
-    labels = counted(labels)
+    labels = broadcast_up_to(labels, BROADCAST_KEYS)
     joined = members.join(labels, members.digest == labels.node, "left")
     return joined.select("key", "digest", F.coalesce("label", "digest").alias("label"))
 
@@ -497,8 +495,7 @@ def exact_pairs(large: DataFrame, units: DataFrame, similarity: float) -> DataFr
         F.count("*").alias("holders"), F.min("label").alias("x"), F.max("label").alias("y")
     )
     mixed = stored(mixed.filter("x <> y").select("unit", "holders"), "exact-mixed")
-    if fit_for_broadcast(mixed, BROADCAST_KEYS):
-        mixed = F.broadcast(mixed)
+    mixed = broadcast_up_to(mixed, BROADCAST_KEYS)
     n = F.col("n")
     least = lambda m: F.ceil(F.lit(share) * (n + m) - 1e-6)
     level = F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
@@ -529,7 +526,8 @@ def exact_pairs(large: DataFrame, units: DataFrame, similarity: float) -> DataFr
     left = F.least(n - F.col("place"), F.col("b_n") - F.col("b_place"))
     fits = (F.col("label") != F.col("b_label")) & (left >= least(F.col("b_n")))
     fits &= ~F.col("b_rest") | (F.col("digest") < F.col("other"))
-    return asking.join(asked, ["unit", "other_level", "part"]).filter(fits).select("digest", "other")
+    met = free_up_to(asking, BROADCAST_KEYS).join(asked, ["unit", "other_level", "part"])
+    return met.filter(fits).select("digest", "other")
 
 
 def near_classes(
@@ -572,17 +570,18 @@ def near_classes(
     members = members.select("key", "digest")
     for number in range(1, PIVOT_ROUNDS + 1):
         still = open_buckets(members, labels)
-        large = still.filter(F.col("n") > SMALL_BUCKET)
+        large = free_up_to(still.filter(F.col("n") > SMALL_BUCKET), BROADCAST_KEYS)
         pairs = pivot_pairs(large, number)
         if number == 1:
-            pairs = pairs.union(small_pairs(still.filter(F.col("n") <= SMALL_BUCKET)))
+            small = free_up_to(still.filter(F.col("n") <= SMALL_BUCKET), BROADCAST_KEYS)
+            pairs = pairs.union(small_pairs(small))
         new = verified(ordered(pairs), marks, units, similarity, str(number))
         members = large.select("key", "digest")
         if new.limit(1).count() == 0:
             break
         links = links.union(new)
         labels = components(links)
-    large = open_buckets(members, labels)
+    large = free_up_to(open_buckets(members, labels), BROADCAST_KEYS)
     if large.limit(1).count():
         pairs = ordered(exact_pairs(large, units, similarity))
         new = verified(pairs, marks, units, similarity, "exact")
@@ -590,7 +589,8 @@ def near_classes(
             labels = components(links.union(new))
 
     ids = rows_in.select("doc_id", "digest")
-    roots = ids.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select(
+    labels = free_up_to(labels.withColumnRenamed("node", "digest"), BROADCAST_KEYS)
+    roots = ids.join(labels, "digest", "left").select(
         "doc_id", "digest", F.coalesce("label", "digest").alias("root")
     )
     classes = roots.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -613,11 +613,25 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         .agg(F.min(order).alias("o"))
         .select(F.xxhash64("o.doc_id", "o.digest").alias("_h"), F.col("o.doc_id").alias("_id"), F.col("o.digest").alias("_digest"))
     )
-    chosen = stored(chosen, "chosen")
-    keys = F.broadcast(chosen) if fit_for_broadcast(chosen, BROADCAST_KEYS) else chosen
+    # The rows of a class that go are fewer than those that stay.
+    pairs = found.select("doc_id", "digest").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    gone = pairs.join(chosen.hint("merge"), (F.xxhash64("doc_id", "digest") == F.col("_h")) & same, "left_anti")
+    gone = gone.select(F.xxhash64("doc_id", "digest").alias("_h"), F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    gone = stored(gone, "gone")
     rows = docs.withColumn("_digest2", digest)
-    same = rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["_digest2"] == keys["_digest"])
-    kept = rows.join(keys, (F.xxhash64(rows["doc_id"].cast("bigint"), rows["_digest2"]) == keys["_h"]) & same, "left_semi")
+    key = F.xxhash64(rows["doc_id"].cast("bigint"), rows["_digest2"])
+
+    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        same = rows["doc_id"].cast("bigint").eqNullSafe(gone["_id"]) & (rows["_digest2"] == gone["_digest"])
+        return rows.join(gone, (key == gone["_h"]) & same, "left_anti")
+
+    if fit_for_broadcast(gone, BROADCAST_KEYS):
+        kept = without(rows, F.broadcast(gone))
+    else:
+        # Rows that cannot be among them stay where they are.
+        chosen = likely(gone, "_h")
+        kept = without(chosen(rows, key), gone.hint("merge")).union(chosen(rows, key, held=False))
     repeated = found.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
     if repeated:
         kept = kept.dropDuplicates(["doc_id", "_digest2"])

@@ -22,3 +22,8 @@ def no_rows(spark):
 def prose(seed, n_words, words="alpha beta gamma delta epsilon zeta eta theta iota kappa".split()):
     r = random.Random(seed)
     return " ".join(r.choice(words) + str(r.randint(0, 999)) for _ in range(n_words))
+
+
+def broadcasts(df):
+    """Whether a plan has a join by keys that is broadcast, before it runs."""
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,7 @@ import random
 import re
 
 import numpy as np
-from samples import edge_rows, frame, no_rows, prose
+from samples import broadcasts, edge_rows, frame, no_rows, prose
 
 from kurzwerk.llm import near_dedup as N
 
@@ -165,3 +165,41 @@ def test_a_text_meets_a_pivot_once_over_all_its_buckets(spark):
     met = [(bytes(r.digest), bytes(r.other)) for r in N.pivot_pairs(large, 1).collect()]
     assert met and len(met) == len(set(met))
     assert all(a[0] // 4 != b[0] // 4 for a, b in met)
+
+
+def test_many_keys_and_labels_are_not_broadcast(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    digest = F.unhex(F.md5(F.col("id").cast("string"))).alias("digest")
+    for name, n in (("few", 100), ("many", 120_000)):
+        spark.range(n).select(digest, digest.alias("label")).write.parquet(str(tmp_path / name))
+    few, many = (spark.read.parquet(str(tmp_path / name)) for name in ("few", "many"))
+    rows = spark.range(50).select(F.col("id").alias("key"), digest)
+    for table in (few, many):
+        kept = N.only(rows, table.select("digest"), "digest")
+        told = N.with_labels(rows, table.withColumnRenamed("digest", "node"))
+        assert broadcasts(kept) == broadcasts(told) == (table is few)
+        assert kept.count() == told.filter("digest = label").count() == 50
+
+
+def test_the_exact_join_is_broadcast_by_what_its_texts_ask_for(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, family(20)).withColumn("digest", F.unhex(F.md5("text")))
+    large = docs.select(F.lit(1).alias("key"), "digest", F.col("digest").alias("label")).distinct()
+    units = N.unit_sets(docs).dropDuplicates(["digest"])
+    want = set(N.ordered(N.exact_pairs(large, units, 0.8)).collect())
+    monkeypatch.setattr(N, "BROADCAST_KEYS", 10)
+    pairs = N.exact_pairs(large, units, 0.8)
+    assert not broadcasts(pairs)
+    assert set(N.ordered(pairs).collect()) == want and len(want) >= 20
+
+
+def test_one_of_each_with_shuffled_keys(spark, monkeypatch):
+    docs = [frame(spark, corpus()), edge_rows(spark), edge_rows(spark).union(edge_rows(spark))]
+    want = [sorted(map(str, N.one_of_each(d).select("doc_id", "text").collect())) for d in docs]
+    monkeypatch.setattr(N, "BROADCAST_KEYS", -1)
+    for d, rows in zip(docs, want):
+        kept = N.one_of_each(d)
+        assert kept.columns == d.columns and not broadcasts(kept)
+        assert sorted(map(str, kept.select("doc_id", "text").collect())) == rows
