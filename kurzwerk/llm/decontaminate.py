@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kurzwerk.llm.common import fit_for_broadcast, stored
+from kurzwerk.llm.common import broadcast_up_to, stored
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -19,7 +19,7 @@ BITS = 64
 FIELD_BITS, WIDE_FIELD_BITS = 16, 32
 MOST_SHINGLES = 32_767
 #: Up to so many texts' keys are broadcast; beyond, the join is a shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 100_000
 #: Items compared at once; their shingles are broadcast, so this bounds what is.
 BLOCK_ITEMS = 20_000
 BLOCK_SHINGLES = 2_000_000
@@ -247,6 +247,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark)
     dirty = stored(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    if fit_for_broadcast(dirty, BROADCAST_KEYS):
-        dirty = F.broadcast(dirty)
+    dirty = broadcast_up_to(dirty, BROADCAST_KEYS)
     return docs.withColumn("_key", key).join(dirty, "_key", "left_anti").select(names)

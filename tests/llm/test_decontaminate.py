@@ -2,7 +2,7 @@ import collections
 import random
 import re
 
-from samples import edge_rows, frame, no_rows, prose
+from samples import broadcasts, edge_rows, frame, no_rows, prose
 
 from kurzwerk.llm import decontaminate as D
 
@@ -111,3 +111,13 @@ def test_edge_rows_and_clean_documents(spark):
     kept = D.clean_documents(df.union(df), bench)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 2, 2]
+
+
+def test_many_texts_with_items_are_not_broadcast(spark, monkeypatch):
+    docs, items = data()
+    bench = spark.createDataFrame([(1, items[3])], "item_id bigint, text string")
+    df = frame(spark, [items[3], "clean words only in this one"])
+    for most, few in ((1, True), (0, False)):
+        monkeypatch.setattr(D, "BROADCAST_KEYS", most)
+        kept = D.clean_documents(df, bench)
+        assert broadcasts(kept) == few and [r.doc_id for r in kept.collect()] == [1]

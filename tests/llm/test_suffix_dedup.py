@@ -3,7 +3,7 @@ import hashlib
 import random
 
 import pytest
-from samples import edge_rows, no_rows
+from samples import broadcasts, edge_rows, frame, no_rows
 
 from kurzwerk.llm import suffix_dedup as S
 
@@ -88,3 +88,12 @@ def test_texts_without_their_repeats(spark, other):
 def test_no_texts_without_repeats(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, digest string")
     assert S.without_repeats(df).collect() == []
+
+
+def test_large_lists_are_not_broadcast(spark, tmp_path):
+    texts = frame(spark, ["a", "b"]).selectExpr("text AS digest", "text")
+    texts.selectExpr("digest", "sequence(1, 300000) AS spans").write.parquet(str(tmp_path / "lists"))
+    lists = spark.read.parquet(str(tmp_path / "lists"))
+    for entries, few in ((500_000, True), (600_000, False)):
+        joined = S.joined_to_texts(texts, lists, entries, "left")
+        assert broadcasts(joined) == few and joined.filter("size(spans) = 300000").count() == 2
